@@ -145,12 +145,12 @@ by_sql(
     "sql_tpch_q1",
     ["lineitem"],
     """SELECT l_returnflag, l_linestatus,
-              CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
-              CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_base_price,
+              round(sum(l_quantity), 2) AS sum_qty,
+              round(sum(l_extendedprice), 2) AS sum_base_price,
               CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)
                   AS sum_disc_price,
-              CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_qty,
-              CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_disc,
+              round(sum(l_quantity), 2) / count(*) AS avg_qty,
+              round(sum(l_discount), 2) / count(*) AS avg_disc,
               count(*) AS count_order
        FROM lineitem WHERE l_shipdate <= DATE '1998-09-02'
        GROUP BY l_returnflag, l_linestatus""",

@@ -211,10 +211,10 @@ def trn_aggregate(spark, sf_dir):
 
 
 _MULTI = """count(*) AS n,
-       CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
+       round(sum(l_quantity), 2) AS sum_qty,
        min(l_extendedprice) AS min_price,
        max(l_extendedprice) AS max_price,
-       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_price,
+       round(sum(l_extendedprice), 2) / count(*) AS avg_price,
        count(DISTINCT l_partkey) AS parts"""
 
 
@@ -225,10 +225,10 @@ _MULTI = """count(*) AS n,
 def trn_aggregate_multi(spark, sf_dir):
     aggs = {
         "n": "count(*)",
-        "sum_qty": "cast(sum(cast(l_quantity as decimal(18,2))) as double)",
+        "sum_qty": "round(sum(l_quantity), 2)",
         "min_price": "min(l_extendedprice)",
         "max_price": "max(l_extendedprice)",
-        "avg_price": "cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / count(*)",
+        "avg_price": "round(sum(l_extendedprice), 2) / count(*)",
         "parts": "count(distinct l_partkey)",
     }
     return transformed(
@@ -347,8 +347,8 @@ def trn_window_running_sum(spark, sf_dir):
 
 @query(
     "trn_window_partition_total",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2)))
-           OVER (PARTITION BY l_partkey) AS DOUBLE) AS part_quantity
+    """SELECT l_orderkey, l_linenumber, l_partkey,
+              round(sum(l_quantity) OVER (PARTITION BY l_partkey), 2) AS part_quantity
        FROM lineitem""",
 )
 def trn_window_partition_total(spark, sf_dir):
@@ -358,7 +358,7 @@ def trn_window_partition_total(spark, sf_dir):
         "lineitem",
         ["l_orderkey", "l_linenumber", "l_partkey"],
         name="part_quantity",
-        expression="cast(sum(cast(l_quantity as decimal(18,2))) as double)",
+        expression="round(sum(l_quantity), 2)",
         partition_by=["l_partkey"],
     )
 

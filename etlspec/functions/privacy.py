@@ -26,6 +26,15 @@ PATTERNS = {
 }
 ENTITIES = tuple(PATTERNS)
 
+# The same matches, found without trying every start inside a long word. \\G
+# stands for the end of the previous match, where a new one may begin.
+_MAIL = "[A-Za-z0-9._%+-]"
+_FORMS = {
+    **PATTERNS,
+    "EMAIL": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}",
+    "PHONE_NUMBER": "(?=[+(0-9])" + PATTERNS["PHONE_NUMBER"],
+}
+
 
 def ordered(entities: Iterable[str]) -> list[str]:
     """The given entities in the order they are applied."""
@@ -37,10 +46,31 @@ def ordered(entities: Iterable[str]) -> list[str]:
 
 
 def redact(text: Column, entities: Iterable[str]) -> Column:
-    """One string column with every entity replaced by ``[ENTITY]``."""
-    for entity in ordered(entities):
-        text = F.regexp_replace(text, F.lit(PATTERNS[entity]), F.lit(f"[{entity}]"))
-    return text
+    """One string column with every entity replaced by ``[ENTITY]``.
+
+    Text without ``@`` holds no e-mail address and text without digits holds
+    none of the others, so most text is only scanned for those.
+    """
+    wanted = ordered(entities)
+    masked = text
+    if "EMAIL" in wanted:
+        masked = F.when(_may_hold(text, "EMAIL"), _replaced(text, "EMAIL")).otherwise(text)
+    numbers = [e for e in wanted if e != "EMAIL"]
+    if not numbers:
+        return masked
+    # Masking an address adds no digit, so the test on the given text holds.
+    plain = masked
+    for entity in numbers:
+        masked = _replaced(masked, entity)
+    return F.when(_may_hold(text, numbers[0]), masked).otherwise(plain)
+
+
+def _replaced(text: Column, entity: str) -> Column:
+    return F.regexp_replace(text, F.lit(_FORMS[entity]), F.lit(f"[{entity}]"))
+
+
+def _may_hold(text: Column, entity: str) -> Column:
+    return text.contains("@") if entity == "EMAIL" else text.rlike("[0-9]")
 
 
 def mask_pii(df: DataFrame, entities: Iterable[str]) -> DataFrame:
@@ -74,7 +104,7 @@ def pii_report(df: DataFrame, entities: Iterable[str] = ENTITIES) -> DataFrame:
         if f.name not in names:
             continue
         for i, entity in enumerate(wanted):
-            matches = _count(F.col(_quoted(f.name)), f.dataType, wanted[:i], PATTERNS[entity])
+            matches = _count(F.col(_quoted(f.name)), f.dataType, wanted[:i], entity)
             counted.append((f.name, entity, matches))
     per_row = df.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(f"m{i}") for i, (_, _, c) in enumerate(counted)])
     totals = per_row.agg(
@@ -130,20 +160,21 @@ def _rebuild(column: Column, dtype: T.DataType, change: Callable[[Column], Colum
     return F.when(column.isNotNull(), F.struct(*parts))
 
 
-def _count(column: Column, dtype: T.DataType, earlier: list[str], pattern: str) -> Column:
+def _count(column: Column, dtype: T.DataType, earlier: list[str], entity: str) -> Column:
     zero = F.lit(0)
     if not _holds_text(dtype):
         return zero
     match dtype:
         case T.StringType():
-            return F.coalesce(F.regexp_count(redact(column, earlier), F.lit(pattern)), zero)
+            found = F.regexp_count(redact(column, earlier), F.lit(_FORMS[entity]))
+            return F.when(_may_hold(column, entity), found).otherwise(zero)
         case T.ArrayType():
             return F.coalesce(
-                F.aggregate(column, zero, lambda n, x: n + _count(x, dtype.elementType, earlier, pattern)), zero
+                F.aggregate(column, zero, lambda n, x: n + _count(x, dtype.elementType, earlier, entity)), zero
             )
         case T.MapType():
-            return _count(F.map_values(column), T.ArrayType(dtype.valueType), earlier, pattern)
+            return _count(F.map_values(column), T.ArrayType(dtype.valueType), earlier, entity)
     total = zero
     for f in dtype.fields:
-        total = total + _count(column.getField(f.name), f.dataType, earlier, pattern)
+        total = total + _count(column.getField(f.name), f.dataType, earlier, entity)
     return total

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from etlspec.functions.canonical import quoted
+from etlspec.functions.canonical import canonical_json, quoted
 from etlspec.functions.columns import compile_column
 
 Types = Mapping[str, T.DataType]
@@ -99,14 +99,19 @@ def check_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> Dat
     nothing.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    found = [
-        F.when(
-            message.isNotNull(),
-            F.struct(F.lit(rule.field).alias("field"), message.alias("message"), F.lit(rule.severity).alias("severity")),
+    messages = F.array(*[rule.message(types) for rule in rules])
+    fields = F.array(*[F.lit(rule.field) for rule in rules])
+    severities = F.array(*[F.lit(rule.severity) for rule in rules])
+    return (
+        df.select(*map(quoted, keys), F.posexplode(messages).alias("__rule", "message"))
+        .filter(F.col("message").isNotNull())
+        .select(
+            *map(quoted, keys),
+            F.get(fields, F.col("__rule")).alias("field"),
+            "message",
+            F.get(severities, F.col("__rule")).alias("severity"),
         )
-        for rule, message in ((r, r.message(types)) for r in rules)
-    ]
-    return df.select(*map(quoted, keys), F.inline(F.array_compact(F.array(*found))))
+    )
 
 
 def find_duplicates(df: DataFrame, keys: Sequence[str], origin: str | None = None) -> DataFrame:
@@ -117,24 +122,53 @@ def find_duplicates(df: DataFrame, keys: Sequence[str], origin: str | None = Non
     is a value like any other. The result is long rather than a list per key,
     so a key with any number of origins never has to fit into one row; counts
     are combined before each shuffle.
+
+    Keys of variable width (texts) are counted by their SHA-256 digest, and only
+    the repeated ones are looked up afterwards, so whole texts are not shuffled
+    to find out that most of them occur once.
     """
-    if origin is None:
-        return df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    origins = [] if origin is None else ["origin"]
+    named = [quoted(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    rows = df.select(*named, *([] if origin is None else [quoted(origin).alias("origin")]))
     names = [f"__key{i}" for i in range(len(keys))]
-    per_origin = df.groupBy(*[quoted(k).alias(n) for k, n in zip(keys, names)], quoted(origin).alias("origin")).agg(
-        F.count(F.lit(1)).alias("n_origin")
-    )
+    wide = any(not _fixed_width(types[k]) for k in keys)
+    if wide:
+        one_text = len(keys) == 1 and isinstance(types[keys[0]], (T.StringType, T.BinaryType))
+        content = F.col(names[0]) if one_text else canonical_json(rows, names)
+        rows = rows.withColumn("__digest", F.coalesce(F.unhex(F.sha2(content, 256)), F.lit(b"")))
+    found = _repeated(rows, ["__digest"] if wide else names, origins)
+    if wide:
+        repeated = found.select("__digest").distinct()
+        texts = (
+            rows.select("__digest", *names)
+            .join(repeated, "__digest", "left_semi")
+            .groupBy("__digest")
+            .agg(F.first(F.struct(*names)).alias("__keys"))
+            .select("__digest", "__keys.*")
+        )
+        found = found.join(texts, "__digest")
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *origins, *(["n_origin"] if origins else []), "n_rows")
+
+
+def _fixed_width(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.NumericType, T.DatetimeType, T.BooleanType))
+
+
+def _repeated(rows: DataFrame, by: Sequence[str], origins: Sequence[str]) -> DataFrame:
+    """Counts per ``by`` and origin, for the values of ``by`` with several rows."""
+    if not origins:
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    per_origin = rows.groupBy(*by, *origins).agg(F.count(F.lit(1)).alias("n_origin"))
     totals = (
-        per_origin.groupBy(*[F.col(n).alias(f"t{n}") for n in names])
+        per_origin.groupBy(*[F.col(n).alias(f"t{n}") for n in by])
         .agg(F.sum("n_origin").alias("n_rows"))
         .filter("n_rows > 1")
     )
     same = F.lit(True)
-    for n in names:
+    for n in by:
         same = same & F.col(n).eqNullSafe(F.col(f"t{n}"))
-    return per_origin.join(totals, same, "inner").select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names)], "origin", "n_origin", "n_rows"
-    )
+    return per_origin.join(totals, same).select(*by, *origins, "n_origin", "n_rows")
 
 
 def find_orphans(df: DataFrame, ref_col: str, known: DataFrame, key_col: str) -> DataFrame:

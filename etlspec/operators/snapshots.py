@@ -56,23 +56,22 @@ def snapshot_diff(
         F.when(repeated, F.raise_error(message))
         .when(F.col("__n_old") == 0, F.lit("Create"))
         .when(F.col("__n_new") == 0, F.lit("Delete"))
-        .when(F.col("__after") != F.col("__before"), F.lit("Modify"))
+        .when(~F.col("__after").eqNullSafe(F.col("__before")), F.lit("Modify"))
     )
     changed = grouped.withColumn("change_type", change).filter(F.col("change_type").isNotNull())
-    digests = [_digest(F.col(side), detail).alias(name) for side, name in (("__before", "old_hash"), ("__after", "new_hash"))]
+    digests = [
+        _digest(F.col(side), detail, len(names)).alias(name)
+        for side, name in (("__before", "old_hash"), ("__after", "new_hash"))
+    ]
     details = [_changes(names).alias("changes")] if detail else []
     return changed.select(*map(quoted, keys), "change_type", *details, *digests)
 
 
 def _side(df, keys, names, set_cols, is_new: bool, detail: bool) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = [
-        F.struct(F.lit(n).alias("field"), _text(df, types.get(n), n, n in set(set_cols)).alias("value")) for n in names
-    ]
-    row = F.array(*texts)
-    return df.select(
-        *map(quoted, keys), F.lit(is_new).alias("__new"), (row if detail else F.unhex(_sha(row))).alias("__row")
-    )
+    texts = [_text(df, types.get(n), n, n in set(set_cols)) for n in names]
+    row = F.array(*texts).cast("array<string>") if detail else F.unhex(_sha(texts))
+    return df.select(*map(quoted, keys), F.lit(is_new).alias("__new"), row.alias("__row"))
 
 
 def _text(df: DataFrame, dtype: T.DataType | None, name: str, as_set: bool) -> Column:
@@ -87,30 +86,30 @@ def _text(df: DataFrame, dtype: T.DataType | None, name: str, as_set: bool) -> C
     return F.when(column.isNotNull(), text)
 
 
-def _sha(row: Column) -> Column:
-    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+def _sha(texts: Sequence[Column]) -> Column:
+    """SHA-256 of texts, each with its length in front so that none can pose as two."""
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.sha2(F.concat(F.lit(""), *parts), 256)
 
 
-def _digest(row: Column, detail: bool) -> Column:
-    return _sha(row) if detail else F.lower(F.hex(row))
+def _digest(row: Column, detail: bool, width: int) -> Column:
+    if not detail:
+        return F.lower(F.hex(row))
+    return F.when(row.isNotNull(), _sha([row.getItem(i) for i in range(width)]))
 
 
 def _changes(names: Sequence[str]) -> Column:
     pairs = F.zip_with(
         F.col("__before"),
         F.col("__after"),
-        lambda old, new: F.struct(
-            old.getField("field").alias("key"),
-            F.struct(
-                F.coalesce(old.getField("value"), F.lit("null")).alias("old"),
-                F.coalesce(new.getField("value"), F.lit("null")).alias("new"),
-            ).alias("value"),
-            old.getField("value").eqNullSafe(new.getField("value")).alias("same"),
+        lambda old, new: F.when(
+            ~old.eqNullSafe(new),
+            F.struct(F.coalesce(old, F.lit("null")).alias("old"), F.coalesce(new, F.lit("null")).alias("new")),
         ),
     )
-    kept = F.filter(pairs, lambda p: ~p.getField("same"))
-    entries = F.transform(kept, lambda p: F.struct(p.getField("key"), p.getField("value")))
-    return F.when(F.col("change_type") == "Modify", F.map_from_entries(entries))
+    every = F.map_from_arrays(F.array(*map(F.lit, names)), pairs)
+    changed = F.map_filter(every, lambda _, pair: pair.isNotNull())
+    return F.when(F.col("change_type") == "Modify", changed)
 
 
 def overlay(layers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -134,7 +133,8 @@ def overlay(layers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
             ]
         else:
             aggs.append(F.max_by(column, F.when(column.isNotNull(), F.col("__layer"))).alias(f.name))
-    merged = stacked.groupBy(*map(quoted, keys)).agg(*aggs)
+    # A layer holds a key at most once, so nothing is combined before the shuffle.
+    merged = stacked.repartition(*map(quoted, keys)).groupBy(*map(quoted, keys)).agg(*aggs)
     counts = F.greatest(*[F.col(f"__n{i}") for i in range(len(layers))], F.lit(0))
     message = F.concat(F.lit("duplicate key in a layer: "), F.to_json(F.struct(*map(quoted, keys))))
     unique = F.when(counts > 1, F.raise_error(message)).otherwise(F.lit(True))
