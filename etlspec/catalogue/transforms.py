@@ -388,7 +388,7 @@ def _sliced(name, table_name, keep, expression, partition_by, order_by, sql):
     @query(name, sql)
     def run(spark, sf_dir):
         df = table(spark, sf_dir, table_name)
-        return add_window(df, "w", expression, partition_by, order_by, split_rows=100).select(*keep, "w")
+        return add_window(df, "w", expression, partition_by, order_by, split_rows=1_000).select(*keep, "w")
 
 
 _sliced(

@@ -5,16 +5,18 @@ for groups of ordinary size. Spark gives each window group to one task, though,
 so three cases are planned differently:
 
 * a partition total (no ordering) is a map-side aggregate joined back;
-* an ordered window over a group larger than ``split_rows`` rows (a frequent
-  key, or the single group of a window without ``partition_by``) is cut into
-  slices along the first order column. The function runs inside each slice and
-  a small table of per-slice subtotals completes it;
-* a function that cannot be completed from subtotals runs the plain way, with
-  a warning when a group is that large.
-
-Cut points are read once, when the transform is planned, and are constants in
-the plan: a re-run task sees the same slices. At most ``MAX_SPLIT`` groups can
-exceed the limit used, so the cut points and the subtotals have a fixed bound.
+* in an ordered window, the rows of groups that are too large for one task (a
+  frequent key, or the one group of a window without ``partition_by``) are cut
+  into slices along their sort order. The function runs inside each slice, and
+  subtotals of the earlier slices complete it. All other rows run the plain way;
+* a function that subtotals cannot complete runs the plain way, with a warning
+  when a group is that large.
+
+Which groups are large, and where they are cut, is read when the transform is
+planned and constant in the plan, so a repeated task sees the same slices. A
+group counts as large above ``split_rows`` rows or above 1/MAX_LARGE of all rows,
+whichever is more: fewer than MAX_LARGE groups or slices can be large, which
+bounds what reaches the driver and what is broadcast.
 """
 
 from __future__ import annotations
@@ -29,14 +31,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from etlspec.functions.canonical import quoted
+from etlspec.functions.canonical import has_map, quoted
 from etlspec.plans.spec import Order
 
 _log = logging.getLogger(__name__)
 
 SPLIT_ROWS = 4_000_000
-MAX_SPLIT = 1024
-SLICES = 128
+MAX_LARGE = 65_536
+# A large group is cut into up to CUTS + 1 slices at a time, slices that are
+# still large again, up to ROUNDS times per order column.
+CUTS = 64
+ROUNDS = 4
 
 # Functions Spark refuses to run without an ordering.
 NEED_ORDER = (
@@ -71,17 +76,22 @@ def add_window(
 
     window = Window.partitionBy(*map(quoted, partition_by)).orderBy(*_ordering(order_by))
     plain = df.withColumn(name, F.expr(expression).over(window))
-    lead_type = df.select(quoted(order_by[0].column)).schema[0].dataType
-    if sort_position(quoted(order_by[0].column), lead_type) is None:
-        return plain
-    big = _big_groups(df, partition_by, split_rows)
-    if not big.rows:
+    groups, limit = _large_groups(df, partition_by, split_rows)
+    if not groups:
         return plain
     result_type = plain.schema[name].dataType
     if not _can_complete(call, result_type):
-        _log.warning('window "%s": %s runs in one task per group, and %d groups are large', name, expression, len(big.rows))
+        _log.warning('window "%s": %d groups are large, and %s takes one task for each', name, len(groups), expression)
         return plain
-    return _Sliced(df, big, partition_by, order_by, lead_type).compute(name, call, result_type)
+
+    large = _keyed(df, partition_by, groups)
+    same = _all([quoted(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(partition_by)] or [F.lit(True)])
+    hot = df.join(F.broadcast(large), same) if partition_by else df.withColumn("__group", F.lit(0))
+    done = _Slices(df, hot, order_by, limit).compute(name, call, result_type)
+    if not partition_by:
+        return done
+    rest = df.join(F.broadcast(large), same, "left_anti")
+    return rest.withColumn(name, F.expr(expression).over(window)).unionByName(done)
 
 
 # --------------------------------------------------------------------------
@@ -167,30 +177,27 @@ def _all(conditions: list[Column]) -> Column:
 # Large groups
 
 
-@dataclass(frozen=True)
-class _Big:
-    """Groups above the limit: their key values, with the type of each key."""
-
-    rows: list
-    schema: T.StructType
-
-
-def _big_groups(df: DataFrame, keys: Sequence[str], split_rows: int) -> _Big:
-    """Groups of more than ``split_rows`` rows and more than 1/MAX_SPLIT of all.
-
-    Fewer than MAX_SPLIT groups can pass the second test, so the result that
-    reaches the driver is bounded whatever the size of the frame.
-    """
+def _large_groups(df: DataFrame, keys: Sequence[str], split_rows: int) -> tuple[list, int]:
+    """The key values of large groups, and the number of rows above which they are."""
     names = [f"__key{i}" for i in range(len(keys))]
-    sizes = df.groupBy(F.lit(0).alias("__all"), *[quoted(k).alias(n) for k, n in zip(keys, names)]).agg(
-        F.count(F.lit(1)).alias("__rows")
+    sizes = df.groupBy(*[quoted(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("__rows"))
+    share = sizes.agg(F.ceil(F.sum("__rows") / F.lit(MAX_LARGE))).scalar()
+    limit = F.greatest(F.lit(split_rows), F.coalesce(share, F.lit(0)))
+    found = sizes.withColumn("__limit", limit).filter("__rows > __limit").drop("__rows").collect()
+    return found, found[0]["__limit"] if found else split_rows
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], groups: list) -> DataFrame:
+    """The large groups as a frame: their keys and a number for each."""
+    types = df.select(*map(quoted, keys)).schema.fields
+    schema = T.StructType(
+        [*[T.StructField(f"__key{i}", f.dataType) for i, f in enumerate(types)], T.StructField("__group", T.IntegerType())]
     )
-    share = sizes.agg(F.sum("__rows") / F.lit(MAX_SPLIT)).scalar()
-    big = sizes.filter((F.col("__rows") > split_rows) & (F.col("__rows") > share)).select("__all", *names)
-    return _Big(big.collect(), big.schema)
+    rows = [(*[g[f"__key{i}"] for i in range(len(keys))], number) for number, g in enumerate(groups)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
-def sort_position(column: Column, dtype: T.DataType, skip: int = 0) -> Column | None:
+def sort_position(column: Column, dtype: T.DataType, skip: Column | int = 0) -> Column | None:
     """A double that never decreases as the column's sort order goes up.
 
     Distinct values may share a position. For strings the six bytes after the
@@ -210,211 +217,259 @@ def sort_position(column: Column, dtype: T.DataType, skip: int = 0) -> Column |
             day = F.unix_date(column.cast("date")).cast("double") * 86400
             return day + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
         case T.StringType() if dtype.simpleString() == "string":
-            head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), skip + 1, 6)), 12, "0")
+            start = F.lit(skip) + 1 if isinstance(skip, int) else skip + 1
+            head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), start, F.lit(6))), F.lit(12), F.lit("0"))
             return F.conv(head, 16, 10).cast("double")
     return None
 
 
-class _Sliced:
-    """A frame whose large groups are cut into slices along the sort order.
+class _Slices:
+    """The rows of large groups, each group cut into slices along the sort order.
 
-    Rows that are equal in the first order column always share a slice, so
-    every function with peers (rank, running totals) sees all peers at once.
+    The slice of a row is its *path*: one number per cut. Rows that agree in all
+    order columns have the same path, so a function with peers (rank, running
+    totals) finds all peers in one slice. A slice of nothing but peers may be
+    large, too; its rows are spread by a salt, which row-wise functions treat as
+    a further part of the path (the order of peers is free) and functions with
+    peers do not need, as subtotals alone give their result there.
     """
 
-    def __init__(self, df, big: _Big, keys: Sequence[str], order_by: Sequence[Order], lead_type: T.DataType):
+    def __init__(self, df: DataFrame, hot: DataFrame, order_by: Sequence[Order], limit: int):
         self.columns = df.columns
-        self.keys = list(keys)
         self.order_by = list(order_by)
-        self.key_names = ["__all", *[f"__key{i}" for i in range(len(keys))]]
-        self.frame = self._cut(df, big, lead_type)
-
-    def _cut(self, df: DataFrame, big: _Big, lead_type: T.DataType) -> DataFrame:
-        lead = quoted(self.order_by[0].column)
-        keyed = df.select(
-            "*", F.lit(0).alias("__all"), *[quoted(k).alias(f"__key{i}") for i, k in enumerate(self.keys)]
+        self.types = [df.select(quoted(o.column)).schema[0].dataType for o in order_by]
+        self.limit = limit
+        self.frame = hot.select(*map(quoted, df.columns), "__group")
+        self.path: list[tuple[str, bool]] = []
+        self._sizes: list | None = None
+        self._refine()
+        if "__salt" not in self.frame.columns:
+            self.frame = self.frame.withColumns({"__salt": F.lit(0), "__flat": F.lit(False)})
+
+    @property
+    def place(self) -> list[str]:
+        return ["__group", *[name for name, _ in self.path]]
+
+    # -- cutting
+
+    def _refine(self) -> None:
+        for i, dtype in enumerate(self.types):
+            if sort_position(F.lit(None), dtype) is None:
+                break
+            for _ in range(ROUNDS):
+                found = [g for g in self._large() if self._alike(g, i) and not g[f"__same{i}"]]
+                if not found:
+                    break
+                self._cut(found, i)
+        flat = [g for g in self._large() if self._alike(g, len(self.types))]
+        if flat:
+            self._salt(flat)
+
+    @staticmethod
+    def _alike(group, count: int) -> bool:
+        return all(group[f"__same{i}"] for i in range(count))
+
+    def _large(self) -> list:
+        """Slices above the limit, with the ends of each order column."""
+        if self._sizes is None:
+            ends = []
+            for i, o in enumerate(self.order_by):
+                ends += [F.min(quoted(o.column)).alias(f"__low{i}"), F.max(quoted(o.column)).alias(f"__high{i}")]
+                ends.append(F.count(quoted(o.column)).alias(f"__set{i}"))
+            sizes = self.frame.groupBy(*self.place).agg(F.count(F.lit(1)).alias("__rows"), *ends)
+            same = [
+                (
+                    F.col(f"__low{i}").eqNullSafe(F.col(f"__high{i}"))
+                    & F.col(f"__set{i}").isin(F.lit(0), F.col("__rows"))
+                ).alias(f"__same{i}")
+                for i in range(len(self.order_by))
+            ]
+            self._sizes = sizes.filter(F.col("__rows") > self.limit).select("*", *same).collect()
+        return self._sizes
+
+    def _cut(self, groups: list, i: int) -> None:
+        """Cut the given slices along order column ``i`` at its quantiles."""
+        column, dtype, place = quoted(self.order_by[i].column), self.types[i], self.place
+        wanted = self._pinned(groups, {"__skip": [_shared_prefix(g[f"__low{i}"], g[f"__high{i}"]) for g in groups]})
+        inside = self.frame.join(F.broadcast(wanted), place).withColumn(
+            "__position", sort_position(column, dtype, F.col("__skip"))
         )
-        wanted = df.sparkSession.createDataFrame(big.rows, big.schema)
-        in_big = keyed.alias("rows").join(
-            F.broadcast(wanted.alias("big")), self._same_keys("rows", "big"), "left_semi"
-        )
-        skip = 0
-        if isinstance(lead_type, T.StringType):
-            # Strings often start alike; all of them share what the two ends share.
-            ends = in_big.agg(F.min(lead), F.max(lead)).first()
-            skip = len(os.path.commonprefix([(end or "").encode() for end in ends]))
-        position = sort_position(lead, lead_type, skip)
-        keyed, in_big = (frame.withColumn("__position", position) for frame in (keyed, in_big))
-        fractions = [i / SLICES for i in range(1, SLICES)]
-        cuts = (
-            in_big.groupBy(*self.key_names)
+        parts = min(CUTS + 1, max(2, -(-max(g["__rows"] for g in groups) // self.limit)))
+        fractions = [n / parts for n in range(1, parts)]
+        found = (
+            inside.groupBy(*place, "__skip")
             .agg(F.percentile_approx("__position", fractions, 10_000).alias("__cuts"))
+            .filter(F.col("__cuts").isNotNull())
+            .collect()
+        )
+        # A value met at several quantiles is frequent and gets a slice of its own.
+        cuts = [sorted(set(g["__cuts"])) for g in found]
+        frequent = [sorted({c for c in g["__cuts"] if g["__cuts"].count(c) > 1}) for g in found]
+        pinned = self._pinned(
+            found, {"__skip": [g["__skip"] for g in found], "__cuts": cuts, "__frequent": frequent}
         )
-        pinned = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-        sliced = keyed.alias("rows").join(
-            F.broadcast(pinned.alias("big")), self._same_keys("rows", "big"), "left"
+        position = F.col("__position")
+        below = F.size(F.filter(F.col("__cuts"), lambda c: c < position))
+        own = F.array_contains("__frequent", position).cast("int")
+        # Nulls sort first going up and last going down: one slice below all others.
+        step = F.when(F.col("__cuts").isNull(), 0).when(position.isNull(), -1).otherwise(below * 2 + own)
+        name = f"__cut{len(self.path)}"
+        kept = self.frame.columns
+        self.frame = (
+            self.frame.join(F.broadcast(pinned), place, "left")
+            .withColumn("__position", sort_position(column, dtype, F.coalesce("__skip", F.lit(0))))
+            .select(*map(quoted, kept), step.alias(name))
+        )
+        self.path.append((name, self.order_by[i].desc))
+        self._sizes = None
+
+    def _salt(self, groups: list) -> None:
+        """Spread the rows of slices that hold only peers."""
+        parts = [-(-g["__rows"] // self.limit) for g in groups]
+        pinned = self._pinned(groups, {"__salts": parts})
+        kept = self.frame.columns
+        hashed = [quoted(f.name) for f in self.frame.schema.fields if not has_map(f.dataType)]
+        salt = F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(*hashed), F.col("__salts"))).otherwise(0)
+        self.frame = self.frame.join(F.broadcast(pinned), self.place, "left").select(
+            *map(quoted, kept), salt.cast("int").alias("__salt"), F.col("__salts").isNotNull().alias("__flat")
         )
-        # Nulls sort first going up and last going down: one slice below all.
-        below = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__position")))
-        slice_id = F.when(F.col("__cuts").isNull(), 0).when(F.col("__position").isNull(), -1).otherwise(below)
-        return sliced.select(
-            F.col("rows.*"), slice_id.alias("__slice"), F.col("__cuts").isNotNull().alias("__big")
-        ).drop("__position")
 
-    def _same_keys(self, left: str, right: str) -> Column:
-        return _all([F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in self.key_names])
+    def _pinned(self, groups: list, more: dict[str, list]) -> DataFrame:
+        """A small frame of constants: the places of ``groups`` and values for each."""
+        kinds = {"__skip": "INT", "__cuts": "ARRAY<DOUBLE>", "__frequent": "ARRAY<DOUBLE>", "__salts": "INT"}
+        schema = ", ".join([*[f"{c} INT" for c in self.place], *[f"{c} {kinds[c]}" for c in more]])
+        rows = [(*[g[c] for c in self.place], *[values[n] for values in more.values()]) for n, g in enumerate(groups)]
+        return self.frame.sparkSession.createDataFrame(rows, schema)
 
     # -- pieces shared by the functions
 
     def _window(self, reverse: bool = False):
-        return Window.partitionBy(*self.key_names, "__slice").orderBy(*_ordering(self.order_by, reverse))
-
-    def _subtotals(self, aggs: dict[str, Column], earlier: dict[str, Column], reverse: bool = False) -> DataFrame:
-        """Per slice of a large group: ``earlier`` computed over the slices before it.
+        return Window.partitionBy(*self.place, "__salt").orderBy(*_ordering(self.order_by, reverse))
 
-        At most SLICES + 1 rows per large group, so the window over them and
-        the broadcast of the result are bounded.
-        """
-        per_slice = (
-            self.frame.filter("__big")
-            .groupBy(*self.key_names, "__slice")
-            .agg(*[column.alias(alias) for alias, column in aggs.items()])
+    def _subtotals(self, place: list[str], aggs: dict[str, Column], earlier: dict[str, Column], reverse: bool = False):
+        """Per slice: ``aggs`` of its own rows, and ``earlier`` over the slices before it."""
+        per_slice = self.frame.groupBy(*place).agg(
+            F.count(F.lit(1)).alias("__rows"), *[column.alias(alias) for alias, column in aggs.items()]
         )
-        up = self.order_by[0].desc == reverse
-        order = F.col("__slice").asc() if up else F.col("__slice").desc()
-        group = Window.partitionBy(*self.key_names)
-        before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        order = [F.col(c).desc() if desc != reverse else F.col(c).asc() for c, desc in self.path]
+        order += [F.col("__salt")] if "__salt" in place else []
+        group = Window.partitionBy("__group")
+        before = group.orderBy(*(order or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)
         return per_slice.select(
-            *[F.col(k).alias(f"s{k}") for k in (*self.key_names, "__slice")],
+            *place,
+            *aggs,
             *[column.over(before).alias(alias) for alias, column in earlier.items()],
             F.sum("__rows").over(group).alias("__group_rows"),
         )
 
-    def _complete(self, rows: DataFrame, subtotals: DataFrame) -> DataFrame:
-        keys = (*self.key_names, "__slice")
-        same = _all([F.col(k).eqNullSafe(F.col(f"s{k}")) for k in keys])
-        return rows.join(F.broadcast(subtotals), same, "left")
-
     def _finish(self, rows: DataFrame, name: str, value: Column, dtype: T.DataType) -> DataFrame:
-        done = rows.select(
-            *[quoted(c) if c != name else value.cast(dtype).alias(name) for c in self.columns],
-            *([] if name in self.columns else [value.cast(dtype).alias(name)]),
-        )
-        return done
+        done = value.cast(dtype).alias(name)
+        kept = [done if c == name else quoted(c) for c in self.columns]
+        return rows.select(*kept, *([] if name in self.columns else [done]))
 
     # -- functions
 
     def compute(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
         if call.function in ("lag", "lead"):
             return self._shift(name, call, dtype)
-        if call.function in RUNNING:
+        if call.function in ("row_number", "ntile"):
+            return self._numbering(name, call, dtype)
+        if call.function in RUNNING or call.function == "cume_dist":
             return self._running(name, call, dtype)
         return self._ranking(name, call, dtype)
 
+    def _numbered(self, reverse: bool = False) -> DataFrame:
+        """Rows with ``__number``, their place in the whole group."""
+        place = [*self.place, "__salt"]
+        before = self._subtotals(place, {}, {"__before": F.sum("__rows")}, reverse)
+        local = self.frame.withColumn("__local", F.row_number().over(self._window(reverse)))
+        return local.join(before, place).withColumn(
+            "__number", F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
+        )
+
+    def _numbering(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
+        rows = self._numbered()
+        if call.function == "row_number":
+            return self._finish(rows, name, F.col("__number"), dtype)
+        return self._finish(rows, name, _tile(F.col("__number"), F.col("__group_rows"), int(call.args[0])), dtype)
+
     def _ranking(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
-        window, nothing = self._window(), F.lit(0)
-        aggs = {"__rows": F.count(F.lit(1))}
-        earlier = {"__before": F.sum("__rows")}
-        if call.function == "dense_rank":
-            values = F.struct(*[quoted(o.column) for o in self.order_by])
-            aggs["__values"] = F.count_distinct(values)
-            earlier["__before"] = F.sum("__values")
-        local = {
-            "row_number": F.row_number(),
-            "ntile": F.row_number(),
-            "rank": F.rank(),
-            "percent_rank": F.rank(),
-            "dense_rank": F.dense_rank(),
-            "cume_dist": F.count(F.lit(1)),
-        }[call.function]
-        rows = self.frame.withColumn("__local", local.over(window))
-        if call.function in ("ntile", "percent_rank", "cume_dist"):
-            whole = Window.partitionBy(*self.key_names, "__slice")
-            rows = rows.withColumn("__slice_rows", F.count(F.lit(1)).over(whole))
-        rows = self._complete(rows, self._subtotals(aggs, earlier))
-        position = F.col("__local") + F.coalesce(F.col("__before"), nothing)
-        if call.function in ("row_number", "rank", "dense_rank"):
-            return self._finish(rows, name, position, dtype)
-        total = F.coalesce(F.col("__group_rows"), F.col("__slice_rows"))
-        if call.function == "cume_dist":
-            value = position / total
-        elif call.function == "percent_rank":
-            value = F.when(total > 1, (position - 1) / (total - 1)).otherwise(F.lit(0.0))
-        else:
-            value = _tile(position, total, int(call.args[0]))
-        return self._finish(rows, name, value, dtype)
+        """rank and relatives; in a slice of peers the local rank is 1 for all."""
+        dense = call.function == "dense_rank"
+        values = F.count_distinct(F.struct(*[quoted(o.column) for o in self.order_by]))
+        aggs = {"__steps": values if dense else F.count(F.lit(1))}
+        before = self._subtotals(self.place, aggs, {"__before": F.sum("__steps")})
+        local = (F.dense_rank() if dense else F.rank()).over(self._window())
+        rows = self.frame.withColumn("__local", local).join(before, self.place)
+        rank = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
+        if call.function == "percent_rank":
+            others = F.col("__group_rows") - 1
+            return self._finish(rows, name, F.when(others > 0, (rank - 1) / others).otherwise(0.0), dtype)
+        return self._finish(rows, name, rank, dtype)
 
     def _running(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
-        argument = F.lit(1) if call.args[0] == "*" else F.expr(call.args[0])
-        source, window = self.frame.withColumn("__value", argument), self._window()
-        self.frame = source
-        aggs = {"__rows": F.count(F.lit(1)), "__count": F.count("__value")}
-        earlier = {"__count": F.sum("__count")}
-        rows = source.withColumn("__local_count", F.count("__value").over(window))
-        if call.function != "count":
-            function = {"sum": F.sum, "avg": F.sum, "min": F.min, "max": F.max}[call.function]
-            merge = {"min": F.min, "max": F.max}.get(call.function, F.sum)
-            value = F.col("__value").cast("double") if call.function == "avg" else F.col("__value")
-            aggs["__part"] = function(value)
-            earlier["__part"] = merge("__part")
-            rows = rows.withColumn("__local", function(value).over(window))
-        rows = self._complete(rows, self._subtotals(aggs, earlier))
-        count = F.col("__local_count") + F.coalesce(F.col("__count"), F.lit(0))
+        """count, sum, avg, min, max and cume_dist up to the current row and its peers."""
+        starred = call.function == "cume_dist" or call.args[0] == "*"
+        value = F.lit(1) if starred else F.expr(call.args[0])
+        value = value.cast("double") if call.function == "avg" else value
+        self.frame = self.frame.withColumn("__value", value)
+        function, merge = {"min": (F.min, F.min), "max": (F.max, F.max)}.get(call.function, (F.sum, F.sum))
+        parts = {"__n": F.count("__value")}
+        if call.function in ("sum", "avg", "min", "max"):
+            parts["__part"] = function("__value")
+        earlier = {f"{alias}_before": (F.sum if alias == "__n" else merge)(alias) for alias in parts}
+        before = self._subtotals(self.place, parts, earlier)
+        local = {f"{alias}_local": column.over(self._window()) for alias, column in parts.items()}
+        rows = self.frame.withColumns(local).join(before, self.place)
+
+        def here(alias: str) -> Column:
+            return F.when(F.col("__flat"), F.col(alias)).otherwise(F.col(f"{alias}_local"))
+
+        count = here("__n") + F.coalesce(F.col("__n_before"), F.lit(0))
         if call.function == "count":
             return self._finish(rows, name, count, dtype)
-        local, part = F.col("__local"), F.col("__part")
-        if call.function == "min":
-            return self._finish(rows, name, F.least(local, part), dtype)
-        if call.function == "max":
-            return self._finish(rows, name, F.greatest(local, part), dtype)
-        total = F.coalesce(local + part, local, part)
-        value = total if call.function == "sum" else F.when(count > 0, total / count)
-        return self._finish(rows, name, value, dtype)
+        if call.function == "cume_dist":
+            return self._finish(rows, name, count / F.col("__group_rows"), dtype)
+        part, earlier_part = here("__part"), F.col("__part_before")
+        if call.function in ("min", "max"):
+            pick = F.least if call.function == "min" else F.greatest
+            return self._finish(rows, name, pick(part, earlier_part), dtype)
+        total = F.coalesce(part + earlier_part, part, earlier_part)
+        return self._finish(rows, name, total if call.function == "sum" else F.when(count > 0, total / count), dtype)
 
     def _shift(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
-        """lag/lead: rows near the start of a slice look into earlier slices.
+        """lag and lead: rows near the start of a slice look into earlier slices.
 
         Row ``p`` of a group needs row ``p - n``. If that one is in an earlier
         slice it is among that slice's last ``n`` rows, so only those are kept
-        for the lookup: at most ``n`` rows per slice.
+        for the lookup.
         """
         back = int(call.args[1]) if len(call.args) > 1 else 1
         reverse = call.function == "lead"
-        window = self._window(reverse)
-        source = self.frame.withColumn("__value", F.expr(call.args[0]))
-        self.frame = source
-        subtotals = self._subtotals(
-            {"__rows": F.count(F.lit(1))}, {"__before": F.sum("__rows")}, reverse
-        )
-        rows = source.withColumn("__local", F.row_number().over(window)).withColumn(
-            "__near", F.lag("__value", back).over(window)
-        )
-        rows = self._complete(rows, subtotals).withColumn(
-            "__place", F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
-        )
-        tail_window = Window.partitionBy(*self.key_names, "__slice")
-        tails = (
-            source.filter("__big")
-            .withColumn("__local", F.row_number().over(window))
-            .withColumn("__slice_rows", F.count(F.lit(1)).over(tail_window))
-            .filter(F.col("__local") > F.col("__slice_rows") - back)
+        self.frame = self.frame.withColumn("__value", F.expr(call.args[0]))
+        window, whole = self._window(reverse), Window.partitionBy(*self.place, "__salt")
+        rows = self._numbered(reverse).withColumns(
+            {"__near": F.lag("__value", back).over(window), "__size": F.count(F.lit(1)).over(whole)}
         )
-        tails = self._complete(tails, subtotals).select(
-            *[F.col(k).alias(f"t{k}") for k in self.key_names],
-            (F.col("__local") + F.coalesce(F.col("__before"), F.lit(0)) + back).alias("__wanted"),
+        ends = rows.filter(F.col("__local") > F.col("__size") - back).select(
+            "__group",
+            (F.col("__number") + back).alias("__number"),
             F.col("__value").alias("__far"),
             F.lit(True).alias("__found"),
         )
-        same = _all(
-            [F.col(k).eqNullSafe(F.col(f"t{k}")) for k in self.key_names]
-            + [F.col("__place") == F.col("__wanted"), F.col("__local") <= back]
-        )
-        rows = rows.join(tails, same, "left")
+        near = rows.filter(F.col("__local") > back)
+        first = rows.filter(F.col("__local") <= back).join(ends, ["__group", "__number"], "left")
         default = F.expr(call.args[2]) if len(call.args) == 3 else F.lit(None)
-        value = (
-            F.when(F.col("__local") > back, F.col("__near")).when(F.col("__found"), F.col("__far")).otherwise(default)
+        return self._finish(near, name, F.col("__near"), dtype).unionByName(
+            self._finish(first, name, F.when(F.col("__found"), F.col("__far")).otherwise(default), dtype)
         )
-        return self._finish(rows, name, value, dtype)
+
+
+def _shared_prefix(low, high) -> int:
+    """How many bytes all strings between two strings have in common at the start."""
+    if not isinstance(low, str) or not isinstance(high, str):
+        return 0
+    return len(os.path.commonprefix([low.encode(), high.encode()]))
 
 
 def _tile(position: Column, total: Column, tiles: int) -> Column:
