@@ -18,6 +18,7 @@ def spark():
         .config("spark.sql.warehouse.dir", os.path.join(work, "warehouse"))
         .config("spark.checkpoint.dir", os.path.join(work, "shared"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
