@@ -22,6 +22,7 @@ bounds what reaches the driver and what is broadcast.
 from __future__ import annotations
 
 import logging
+import math
 import os
 import re
 from collections.abc import Sequence
@@ -38,9 +39,10 @@ _log = logging.getLogger(__name__)
 
 SPLIT_ROWS = 4_000_000
 MAX_LARGE = 65_536
-# A large group is cut into up to CUTS + 1 slices at a time, slices that are
-# still large again, up to ROUNDS times per order column.
-CUTS = 64
+# A large group is cut at up to 63 places at a time (6 comparisons find the slice
+# of a row), slices that are still large again, up to ROUNDS times per column.
+STEPS = (32, 16, 8, 4, 2, 1)
+CUTS = sum(STEPS)
 ROUNDS = 4
 
 # Functions Spark refuses to run without an ordering.
@@ -65,9 +67,13 @@ def add_window(
     expression: str,
     partition_by: Sequence[str] = (),
     order_by: Sequence[Order] = (),
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = SPLIT_ROWS,
 ) -> DataFrame:
-    """Add ``name`` = ``expression`` over the window, replacing a column of that name."""
+    """Add ``name`` = ``expression`` over the window, replacing a column of that name.
+
+    With an ordering, the group sizes are counted first (one pass over the key
+    columns). ``split_rows=None`` leaves that out and always runs plainly.
+    """
     call = parse_call(expression)
     if not order_by:
         if call and call.function in NEED_ORDER:
@@ -76,7 +82,7 @@ def add_window(
 
     window = Window.partitionBy(*map(quoted, partition_by)).orderBy(*_ordering(order_by))
     plain = df.withColumn(name, F.expr(expression).over(window))
-    groups, limit = _large_groups(df, partition_by, split_rows)
+    groups, limit = _large_groups(df, partition_by, split_rows) if split_rows is not None else ([], 0)
     if not groups:
         return plain
     result_type = plain.schema[name].dataType
@@ -303,22 +309,27 @@ class _Slices:
             .collect()
         )
         # A value met at several quantiles is frequent and gets a slice of its own.
-        cuts = [sorted(set(g["__cuts"])) for g in found]
+        cuts = [_padded(sorted(set(g["__cuts"]))) for g in found]
         frequent = [sorted({c for c in g["__cuts"] if g["__cuts"].count(c) > 1}) for g in found]
         pinned = self._pinned(
             found, {"__skip": [g["__skip"] for g in found], "__cuts": cuts, "__frequent": frequent}
         )
         position = F.col("__position")
-        below = F.size(F.filter(F.col("__cuts"), lambda c: c < position))
+        below = F.aggregate(  # a binary search for the number of cuts below the position
+            F.array(*map(F.lit, STEPS)),
+            F.lit(0),
+            lambda n, step: n + F.when(F.get("__cuts", n + step - 1) < position, step).otherwise(0),
+        )
         own = F.array_contains("__frequent", position).cast("int")
         # Nulls sort first going up and last going down: one slice below all others.
-        step = F.when(F.col("__cuts").isNull(), 0).when(position.isNull(), -1).otherwise(below * 2 + own)
+        number = F.when(F.col("__cuts").isNull(), 0).when(position.isNull(), -1).otherwise(below * 2 + own)
+        number = F.coalesce(number, F.lit(0))  # never null, so a join need not test it again
         name = f"__cut{len(self.path)}"
         kept = self.frame.columns
         self.frame = (
             self.frame.join(F.broadcast(pinned), place, "left")
             .withColumn("__position", sort_position(column, dtype, F.coalesce("__skip", F.lit(0))))
-            .select(*map(quoted, kept), step.alias(name))
+            .select(*map(quoted, kept), number.alias(name))
         )
         self.path.append((name, self.order_by[i].desc))
         self._sizes = None
@@ -465,6 +476,10 @@ class _Slices:
         )
 
 
+def _padded(cuts: list[float]) -> list[float]:
+    return cuts + [math.nan] * (CUTS - len(cuts))  # no position is above NaN
+
+
 def _shared_prefix(low, high) -> int:
     """How many bytes all strings between two strings have in common at the start."""
     if not isinstance(low, str) or not isinstance(high, str):

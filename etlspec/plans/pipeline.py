@@ -60,16 +60,18 @@ def run_pipeline(
     project_dir: str | None = None,
     allow_code: bool = False,
     credentials: Credentials | None = None,
+    split_rows: int | None = windows.SPLIT_ROWS,
 ) -> PipelineResult:
     """Plan a spec (dict, YAML path or ``PipelineSpec``). Nothing is written.
 
     ``frames`` are DataFrames known by name besides, or instead of, the
-    sources. ``body`` and ``job_file`` need ``allow_code=True``.
+    sources. ``body`` and ``job_file`` need ``allow_code=True``. ``split_rows``
+    is the size from which groups of ordered windows are cut into slices.
     """
     given = dict(frames or {})
     spec = load_spec(spec, base_dir=base_dir, frames=tuple(given))
     known = {s.name: read_source(spark, s, credentials) for s in spec.sources if s.name not in given} | given
-    return plan(spark, spec, known, tuple(given), allow_code, project_dir)
+    return plan(spark, spec, known, tuple(given), allow_code, project_dir, split_rows)
 
 
 def plan(
@@ -79,6 +81,7 @@ def plan(
     extra: tuple[str, ...] = (),
     allow_code: bool = False,
     project_dir: str | None = None,
+    split_rows: int | None = windows.SPLIT_ROWS,
 ) -> PipelineResult:
     """Plan a checked spec over frames that are already bound."""
     known = dict(frames)
@@ -94,7 +97,7 @@ def plan(
     names = step_names(spec, extra)
     for i, (step, (source, target)) in enumerate(zip(spec.transforms, names)):
         try:
-            known[target] = apply_transform(spark, known, step, source)
+            known[target] = apply_transform(spark, known, step, source, split_rows)
         except (PySparkException, ValueError) as exc:
             raise TransformError(f"transforms[{i}]", exc) from exc
     return PipelineResult(spec, known, _finish(known[_written(spec, names, extra)], spec))
@@ -107,7 +110,11 @@ def _written(spec: PipelineSpec, names, extra: tuple[str, ...]) -> str:
 
 
 def apply_transform(
-    spark: SparkSession, frames: Mapping[str, DataFrame], step: TransformSpec, source: str
+    spark: SparkSession,
+    frames: Mapping[str, DataFrame],
+    step: TransformSpec,
+    source: str,
+    split_rows: int | None = windows.SPLIT_ROWS,
 ) -> DataFrame:
     df = frames[source]
     match step.kind:
@@ -128,7 +135,7 @@ def apply_transform(
         case "aggregate":
             return grouping.aggregate(df, step.group_by, step.aggs)
         case "window":
-            return windows.add_window(df, step.name, step.expression, step.partition_by, step.order_by)
+            return windows.add_window(df, step.name, step.expression, step.partition_by, step.order_by, split_rows)
     raise ValueError(f"unknown transform '{step.kind}'")
 
 

@@ -329,3 +329,27 @@ def test_serial_jdbc_reads_are_reported(spark, caplog):
     with caplog.at_level(logging.WARNING), pytest.raises(Exception):
         read_jdbc(spark, source)
     assert "one task" in caplog.text
+
+
+def test_session_functions_in_expressions(spark, people):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    @F.udtf(returnType="n: int")
+    class UpTo:
+        def eval(self, top: int):
+            for n in range(top):
+                yield (n,)
+
+    spark.udf.register("etlspec_spread", spread)
+    spark.udtf.register("etlspec_up_to", UpTo)
+    steps = [
+        {"type": "sql", "query": "SELECT t.team, u.n FROM t, LATERAL etlspec_up_to(t.id) u"},
+        {"type": "aggregate", "group_by": ["team"], "aggs": {"s": "etlspec_spread(n)"}},
+    ]
+    out = run_pipeline(spark, {"transforms": steps}, frames={"t": people}).output
+    assert collected(out) == [("x", 1.0), ("y", 2.0)]
