@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from etlspec.catalogue.base import query, table, transformed
+from etlspec.operators.joins import join
 from etlspec.operators.windows import add_window
 from etlspec.plans.spec import Order
 
@@ -197,6 +198,27 @@ def trn_join_outer(spark, sf_dir):
     )
 
 
+def _frequent(name, how, sql):
+    """The joins again with a low limit, so that the tables' keys count as frequent."""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        customer = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").filter("c_acctbal > 0")
+        supplier = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey").filter("s_acctbal < 5000")
+        left, right = (df.withColumnRenamed(df.columns[0], "nationkey") for df in (customer, supplier))
+        return join(left, right, "nationkey", how, split_rows=1)
+
+
+_SIDES = """(SELECT c_nationkey AS nationkey, c_custkey FROM customer WHERE c_acctbal > 0) c
+    {} JOIN (SELECT s_nationkey AS nationkey, s_suppkey FROM supplier WHERE s_acctbal < 5000) s
+    ON c.nationkey = s.nationkey"""
+for _how, _word in (("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+    _frequent(
+        f"trn_join_{_how}_frequent",
+        _how,
+        f"SELECT coalesce(c.nationkey, s.nationkey) AS nationkey, c_custkey, s_suppkey FROM {_SIDES.format(_word)}",
+    )
+
 # --- aggregate
 
 

@@ -7,26 +7,65 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from etlspec.functions.canonical import quoted
+from etlspec.operators.sizes import SPLIT_ROWS, large_groups
 
 
 
 def join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", suffix: str | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    suffix: str | None = None,
+    split_rows: int | None = SPLIT_ROWS,
 ) -> DataFrame:
     """Join on equally named columns, which appear once in the result.
 
     Null keys match nothing. Other columns present on both sides are an error,
     unless ``suffix`` is given for the right-hand ones. Which side is
     broadcast, if any, is left to the size statistics of the optimizer.
+
+    Adaptive execution splits a frequent key of either side of an inner join,
+    but only of the preserved side of a left or right join, and none in a full
+    outer join. Where that leaves a side with a key of more than ``split_rows``
+    rows to one task, the join is planned as an inner join and the rows without
+    a match, which can both be split. Finding out takes a pass over that
+    side's keys; ``split_rows=None`` leaves it out.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if how not in ("left_semi", "left_anti"):
-        right = _without_clashes(left, right, keys, suffix)
-    if how == "outer":
-        return _full_outer(left, right, keys)
+    if how in ("left_semi", "left_anti"):
+        return left.join(_distinct_keys(right, keys), keys, how)
+    right = _without_clashes(left, right, keys, suffix)
+
+    def frequent(side: DataFrame) -> bool:
+        return split_rows is not None and bool(large_groups(side, keys, split_rows, most=1)[0])
+
+    if how == "left" and frequent(right.dropna(subset=keys)):
+        return _outer(left, right, keys, left_rows=True)
+    if how == "right" and frequent(left.dropna(subset=keys)):
+        return _outer(left, right, keys, right_rows=True)
+    if how == "outer" and (frequent(left) or frequent(right)):
+        return _outer(left, right, keys, left_rows=True, right_rows=True)
     return left.join(right, keys, how)
 
 
+def _outer(
+    left: DataFrame, right: DataFrame, keys: list[str], left_rows: bool = False, right_rows: bool = False
+) -> DataFrame:
+    """The matches, and the rows of the chosen sides that have none."""
+    result = left.join(right, keys, "inner")
+    for wanted, side, other in ((left_rows, left, right), (right_rows, right, left)):
+        if wanted:
+            alone = side.join(_distinct_keys(other, keys), keys, "left_anti")
+            result = result.unionByName(alone, allowMissingColumns=True)
+    return result
+
+
+def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once: repeated ones are dropped before they are shuffled."""
+    return df.select(*map(quoted, keys)).distinct()
+
+
 def _without_clashes(left: DataFrame, right: DataFrame, keys: list[str], suffix: str | None) -> DataFrame:
     shared = [c for c in right.columns if c in left.columns and c not in keys]
     if not shared:
@@ -36,17 +75,3 @@ def _without_clashes(left: DataFrame, right: DataFrame, keys: list[str], suffix:
             f"both sides of the join have the columns {', '.join(shared)}; rename or drop them, or give a suffix"
         )
     return right.select(*[quoted(c).alias(c + suffix) if c in shared else quoted(c) for c in right.columns])
-
-
-def _full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """All of the left join, plus the right rows that matched nothing.
-
-    A full outer join reads each key in one task, and adaptive execution
-    cannot split it. Both halves used here can be split, so a key that holds a
-    large part of the rows does not become one long task.
-    """
-    matched = left.join(right, keys, "left")
-    alone = right.join(left.select(*[quoted(k) for k in keys]), keys, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
-
-

@@ -33,12 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from etlspec.functions.canonical import has_map, quoted
+from etlspec.operators.sizes import SPLIT_ROWS, large_groups
 from etlspec.plans.spec import Order
 
 _log = logging.getLogger(__name__)
 
-SPLIT_ROWS = 4_000_000
-MAX_LARGE = 65_536
 # A large group is cut at up to 63 places at a time (6 comparisons find the slice
 # of a row), slices that are still large again, up to ROUNDS times per column.
 STEPS = (32, 16, 8, 4, 2, 1)
@@ -82,7 +81,7 @@ def add_window(
 
     window = Window.partitionBy(*map(quoted, partition_by)).orderBy(*_ordering(order_by))
     plain = df.withColumn(name, F.expr(expression).over(window))
-    groups, limit = _large_groups(df, partition_by, split_rows) if split_rows is not None else ([], 0)
+    groups, limit = large_groups(df, partition_by, split_rows) if split_rows is not None else ([], 0)
     if not groups:
         return plain
     result_type = plain.schema[name].dataType
@@ -183,16 +182,6 @@ def _all(conditions: list[Column]) -> Column:
 # Large groups
 
 
-def _large_groups(df: DataFrame, keys: Sequence[str], split_rows: int) -> tuple[list, int]:
-    """The key values of large groups, and the number of rows above which they are."""
-    names = [f"__key{i}" for i in range(len(keys))]
-    sizes = df.groupBy(*[quoted(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("__rows"))
-    share = sizes.agg(F.ceil(F.sum("__rows") / F.lit(MAX_LARGE))).scalar()
-    limit = F.greatest(F.lit(split_rows), F.coalesce(share, F.lit(0)))
-    found = sizes.withColumn("__limit", limit).filter("__rows > __limit").drop("__rows").collect()
-    return found, found[0]["__limit"] if found else split_rows
-
-
 def _keyed(df: DataFrame, keys: Sequence[str], groups: list) -> DataFrame:
     """The large groups as a frame: their keys and a number for each."""
     types = df.select(*map(quoted, keys)).schema.fields

@@ -1,8 +1,8 @@
 """Running a spec: sources, then transforms in order, then the output frame.
 
 Everything up to the sink is one lazy plan over named frames. The exceptions
-are schema inference of CSV, JSON and HTTP sources, and the group-size probe of
-ordered windows.
+are schema inference of CSV, JSON and HTTP sources, and the search for frequent
+keys before outer joins and ordered windows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from etlspec.functions.defaults import add_time_partitions, with_defaults
 from etlspec.functions.privacy import mask_pii
 from etlspec.operators import grouping, joins, projection, windows
 from etlspec.operators.hooks import CodeNotAllowed, run_code
+from etlspec.operators.sizes import SPLIT_ROWS
 from etlspec.plans.check import sink_source, step_names
 from etlspec.plans.spec import PipelineSpec, SinkSpec, TransformSpec, load_spec
 from etlspec.sinks.write import write_sink
@@ -60,13 +61,14 @@ def run_pipeline(
     project_dir: str | None = None,
     allow_code: bool = False,
     credentials: Credentials | None = None,
-    split_rows: int | None = windows.SPLIT_ROWS,
+    split_rows: int | None = SPLIT_ROWS,
 ) -> PipelineResult:
     """Plan a spec (dict, YAML path or ``PipelineSpec``). Nothing is written.
 
     ``frames`` are DataFrames known by name besides, or instead of, the
     sources. ``body`` and ``job_file`` need ``allow_code=True``. ``split_rows``
-    is the size from which groups of ordered windows are cut into slices.
+    is the number of rows from which a key of an outer join or of an ordered
+    window is split over several tasks; None leaves out looking for such keys.
     """
     given = dict(frames or {})
     spec = load_spec(spec, base_dir=base_dir, frames=tuple(given))
@@ -81,7 +83,7 @@ def plan(
     extra: tuple[str, ...] = (),
     allow_code: bool = False,
     project_dir: str | None = None,
-    split_rows: int | None = windows.SPLIT_ROWS,
+    split_rows: int | None = SPLIT_ROWS,
 ) -> PipelineResult:
     """Plan a checked spec over frames that are already bound."""
     known = dict(frames)
@@ -114,7 +116,7 @@ def apply_transform(
     frames: Mapping[str, DataFrame],
     step: TransformSpec,
     source: str,
-    split_rows: int | None = windows.SPLIT_ROWS,
+    split_rows: int | None = SPLIT_ROWS,
 ) -> DataFrame:
     df = frames[source]
     match step.kind:
@@ -131,7 +133,7 @@ def apply_transform(
         case "add_column":
             return projection.add_column(df, step.name, step.expression)
         case "join":
-            return joins.join(df, frames[step.right], step.on, step.how or "inner", step.suffix)
+            return joins.join(df, frames[step.right], step.on, step.how or "inner", step.suffix, split_rows)
         case "aggregate":
             return grouping.aggregate(df, step.group_by, step.aggs)
         case "window":

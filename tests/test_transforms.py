@@ -108,12 +108,17 @@ class TestJoin:
         assert out.columns == ["k", "a", "b"]
         assert collected(out) == expected
 
-    def test_outer_equals_sparks_own(self, rows):
-        left = rows([(i % 7 if i % 5 else None, i) for i in range(60)], "k INT, a INT")
-        right = rows([(i % 11 if i % 4 else None, i) for i in range(50)], "k INT, b INT")
-        assert collected(join(left, right, "k", "outer")) == collected(left.join(right, "k", "outer"))
-        two = [f.selectExpr("*", "k % 2 AS j") for f in (left, right)]
-        assert collected(join(*two, ["k", "j"], "outer")) == collected(two[0].join(two[1], ["k", "j"], "outer"))
+    @pytest.mark.parametrize("how", ["left", "right", "outer"])
+    def test_frequent_keys_give_the_same_rows(self, rows, how):
+        left = rows([(i % 7 if i % 5 else None, i % 2, i) for i in range(60)], "k INT, j INT, a INT")
+        right = rows([(i % 11 if i % 4 else None, i % 2, i) for i in range(50)], "k INT, j INT, b INT")
+        split = join(left, right, ["k", "j"], how, split_rows=2)
+        assert "Union" in split._jdf.queryExecution().optimizedPlan().toString()
+        assert split.columns == ["k", "j", "a", "b"]
+        assert collected(split) == collected(left.join(right, ["k", "j"], how))
+        plain = join(left, right, ["k", "j"], how, split_rows=None)
+        assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert collected(plain) == collected(split)
 
     def test_semi_and_anti(self, sides):
         assert collected(join(*sides, "k", "left_semi")) == [(2, "l2"), (2, "l2b")]

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from etlspec.operators import windows
+from etlspec.operators.sizes import SPLIT_ROWS
 from etlspec.operators.windows import add_window, parse_call
 from etlspec.plans.spec import Order
 
@@ -79,7 +80,7 @@ def test_slices_stay_below_the_limit(events):
 
 
 def test_nothing_is_cut_when_groups_are_small_or_splitting_is_off(events):
-    for limit in (windows.SPLIT_ROWS, None):
+    for limit in (SPLIT_ROWS, None):
         got = add_window(events, "w", "rank()", ["k"], [Order("score")], split_rows=limit)
         assert "__group" not in got._jdf.queryExecution().toString()
 
