@@ -148,7 +148,8 @@ def find_duplicates(df: DataFrame, keys: Sequence[str], origin: str | None = Non
             .select("__digest", "__keys.*")
         )
         found = found.join(texts, "__digest")
-    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *origins, *(["n_origin"] if origins else []), "n_rows")
+    counts = ["n_origin", "n_rows"] if origins else ["n_rows"]
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *origins, *counts)
 
 
 def _fixed_width(dtype: T.DataType) -> bool:

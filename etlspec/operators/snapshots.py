@@ -138,15 +138,14 @@ def overlay(layers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     counts = F.greatest(*[F.col(f"__n{i}") for i in range(len(layers))], F.lit(0))
     message = F.concat(F.lit("duplicate key in a layer: "), F.to_json(F.struct(*map(quoted, keys))))
     unique = F.when(counts > 1, F.raise_error(message)).otherwise(F.lit(True))
-    return merged.filter(unique).select(
-        *map(quoted, keys),
-        *[
-            reduce(lambda a, b, t=f.dataType: _merge(a, b, t), [quoted(_at(f.name, i)) for i in range(len(layers))]).alias(f.name)
-            if f in deep
-            else quoted(f.name)
-            for f in fields
-        ],
-    )
+
+    def value(f: T.StructField) -> Column:
+        if f not in deep:
+            return quoted(f.name)
+        per_layer = [quoted(_at(f.name, i)) for i in range(len(layers))]
+        return reduce(lambda below, above: _merge(below, above, f.dataType), per_layer).alias(f.name)
+
+    return merged.filter(unique).select(*map(quoted, keys), *map(value, fields))
 
 
 def _at(name: str, layer: int) -> str:

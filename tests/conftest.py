@@ -35,5 +35,5 @@ def rows(spark):
 
 def collected(df, *order):
     """Rows as tuples, ordered by the given columns (or all), nulls first."""
-    names = order or df.columns
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(r[df.columns.index(n)] is not None, str(r[df.columns.index(n)])) for n in names])
+    places = [df.columns.index(n) for n in order or df.columns]
+    return sorted(map(tuple, df.collect()), key=lambda r: [(r[i] is not None, str(r[i])) for i in places])
