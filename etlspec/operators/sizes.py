@@ -18,13 +18,15 @@ def large_groups(df: DataFrame, keys: Sequence[str], split_rows: int, most: int
 
     A group is large above ``split_rows`` rows or above 1/MAX_LARGE of all rows,
     whichever is more, so there are fewer than MAX_LARGE. This runs a job over
-    the key columns; counts are combined before the shuffle. ``most`` stops
-    after that many groups, for callers that only ask whether there are any.
+    the key columns, with counts combined before the shuffle, and a second one
+    only if there is a large group. ``most`` stops after that many groups, for
+    callers that only ask whether there are any.
     """
     names = [f"__key{i}" for i in range(len(keys))]
     sizes = df.groupBy(*[quoted(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("__rows"))
-    share = sizes.agg(F.ceil(F.sum("__rows") / F.lit(MAX_LARGE))).scalar()
-    limit = F.greatest(F.lit(split_rows), F.coalesce(share, F.lit(0)))
-    found = sizes.withColumn("__limit", limit).filter("__rows > __limit").drop("__rows")
-    rows = (found if most is None else found.limit(most)).collect()
-    return rows, rows[0]["__limit"] if rows else split_rows
+    largest, total = sizes.agg(F.max("__rows"), F.sum("__rows")).first()
+    limit = max(split_rows, -(-(total or 0) // MAX_LARGE))
+    if (largest or 0) <= limit:
+        return [], limit
+    found = sizes.filter(F.col("__rows") > limit).drop("__rows")
+    return (found if most is None else found.limit(most)).collect(), limit
