@@ -248,16 +248,16 @@ def udf_job_file(spark, sf_dir):
     return run_pipeline(spark, spec, base_dir=list(jobs.__path__)[0], allow_code=True).output
 
 
-def discounted(price: pd.Series, discount: pd.Series) -> pd.Series:
-    return price * (1 - discount)
-
-
 @query(
     "udf_registered",
     """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem""",
 )
 def udf_registered(spark, sf_dir):
-    spark.udf.register("etlspec_discounted", F.pandas_udf(discounted, "double"))
+    @F.pandas_udf("double")
+    def discounted(price: pd.Series, discount: pd.Series) -> pd.Series:
+        return price * (1 - discount)
+
+    spark.udf.register("etlspec_discounted", discounted)
     return transformed(
         spark,
         sf_dir,

@@ -7,11 +7,14 @@ is never held whole.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
+import sys
 import urllib.request
 from collections.abc import Iterable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -59,8 +62,6 @@ class HttpReader(DataSourceReader):
 
 
 def _decoded(chunks: Iterable[bytes]) -> Iterator[str]:
-    import codecs
-
     decoder = codecs.getincrementaldecoder("utf-8-sig")()
     for chunk in chunks:
         yield decoder.decode(chunk)
@@ -108,6 +109,8 @@ def _skip(text: str, at: int, in_array: bool | None) -> int:
 
 def http_text(spark: SparkSession, source: SourceSpec) -> DataFrame:
     """The response items as one string column, ``body``."""
+    # By value, so that executors can run the reader without this package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(HttpDataSource)
     options = reader_options(source.options)
     urls = json.loads(options.pop("urls")) if "urls" in options else [source.url]
