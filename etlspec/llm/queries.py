@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etlspec.llm import simhash
+from etlspec.llm import decontaminate, lines, packing, quality, simhash
+from etlspec.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +32,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_sum_of_squares_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def word_tokenizer(name: str = "word_bpe_49k.json") -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(
+    "op1_line_dedup",
+    r"""
+    WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+    totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+    seen AS (SELECT source, line, count(*) AS n FROM (
+        SELECT DISTINCT source, text, trim(x) AS line FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS x FROM pages)
+    ) WHERE line <> '' GROUP BY source, line),
+    bad AS (SELECT s.source, list(s.line) AS lines FROM seen s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
+        WHERE s.n >= 5 AND s.n > 0.02 * t.pages GROUP BY s.source),
+    cut AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls, coalesce(b.lines, []) AS lines
+        FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
+    SELECT doc_id, array_to_string(list_filter(ls, x -> NOT list_contains(lines, trim(x))), chr(10)) AS text,
+        len(ls) - len(list_filter(ls, x -> NOT list_contains(lines, trim(x)))) AS n_dropped_lines FROM cut
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped_lines")
+
+
+@query(
+    "op3_benchmark_decontamination",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS x
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT k FROM bw),
+    dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS x
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+    hit AS (SELECT dw.doc_id, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.x = bw.x),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+        sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
