@@ -88,9 +88,10 @@ def find(
     base = docs.select(column(docs, id_col).alias("doc"), F.xxhash64(text).alias("text_key"), words(text).alias("w"))
     base = base.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
     keys = [_window_keys(k) for k in sizes]
-    # the last key stands for the document itself, so that those without a hit stay
+    # the last key stands for the document itself, so that those without a hit stay; no array is empty,
+    # and the outer form keeps the optimizer from testing that on a second copy of the expression
     rows = base.select("doc", "text_key", "w", F.concat(*keys, F.array(F.lit(0).cast("long"))).alias("keys"))
-    rows = rows.select("doc", "text_key", "w", F.size("w").alias("n_words"), F.size("keys").alias("n_keys"), F.posexplode("keys").alias("pos", "key"))
+    rows = rows.select("doc", "text_key", "w", F.size("w").alias("n_words"), F.size("keys").alias("n_keys"), F.posexplode_outer("keys").alias("pos", "key"))
     start, size = F.lit(None).cast("int"), F.lit(None).cast("int")
     begins, whens = F.lit(0), []
     for k in sizes:

@@ -30,7 +30,7 @@ def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, max_ratio: flo
     ).where(F.col("text").isNotNull())
     totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.when(F.trim(x) != "", line_key(x))))
-    seen = pages.select("host", "page", F.explode(keys).alias("line")).where("line IS NOT NULL").distinct()
+    seen = pages.select("host", "page", F.explode_outer(keys).alias("line")).where("line IS NOT NULL").distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min_pages))
     hits = counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
     frequent = hits.where(F.col("n") > F.lit(float(max_ratio)) * F.col("pages"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etlspec.llm import decontaminate, lines, packing, quality, simhash
+from etlspec.llm import decontaminate, langid, lines, packing, quality, sharding, simhash, topk
 from etlspec.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,8 +67,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE s.n >= 5 AND s.n > 0.02 * t.pages GROUP BY s.source),
     cut AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls, coalesce(b.lines, []) AS lines
         FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
-    SELECT doc_id, array_to_string(list_filter(ls, x -> NOT list_contains(lines, trim(x))), chr(10)) AS text,
-        len(ls) - len(list_filter(ls, x -> NOT list_contains(lines, trim(x)))) AS n_dropped_lines FROM cut
+    SELECT doc_id, array_to_string(list_filter(ls, lambda x: NOT list_contains(lines, trim(x))), chr(10)) AS text,
+        len(ls) - len(list_filter(ls, lambda x: NOT list_contains(lines, trim(x)))) AS n_dropped_lines FROM cut
     """,
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,3 +104,35 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op6_stratified_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    slim = docs.select("doc_id", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    placed = sharding.shard(slim, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query(
+    "op2_exact_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
