@@ -2,14 +2,69 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from etlspec.llm import decontaminate, lines, packing, quality, simhash
+from etlspec.llm.common import checkpoint_folder
+from etlspec.llm.queries import table, word_tokenizer
+
+#: A document goes if its probability of good quality is below this.
+LEAST_QUALITY = 0.3
+#: Bits that fingerprints of near copies may differ in.
+NEAR_BITS = 7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects. It learns from the labelled documents among ``docs``."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, score_col="_quality")
+    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take the boilerplate lines of each source out of its documents; ``n_chars`` follows the text."""
+    clean = lines.dedup_lines(docs, dropped_col="_dropped")
+    n_chars = F.when(F.col("_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).drop("_dropped")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, by fingerprints of five-word shingles."""
+    return simhash.keep_one(docs, shingle_words=5, max_bits=NEAR_BITS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of ten words of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' tokens into sequences of 4,096."""
+    return packing.pack(docs, word_tokenizer())
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", drop_boilerplate),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack_tokens),
+]
+#: SQL can express neither the classifier nor fingerprints; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each result is written to shared storage and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{folder}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

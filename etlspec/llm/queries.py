@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etlspec.llm import decontaminate, langid, lines, packing, quality, sharding, simhash, topk
+from etlspec.llm import chat, decontaminate, langid, lines, packing, pseudonyms, quality, sharding, simhash, topk
 from etlspec.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op4_format_preserving_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="etlspec documents 1")
+    return done.select("doc_id", "text", F.to_json("pii").alias("pii"))
+
+
+@query("op9_chat_formatting")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat.read_back(chat.format_windows(turns))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    part = F.struct("window", F.size("turns").alias("n"), spoken.alias("spoken"), F.array_join("targets", "").alias("loss"), "n_chars")
+    parts = back.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    total = lambda name: F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p[name])
+    whole = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    return parts.select(
+        "conv_id",
+        total("n").alias("n_turns"),
+        F.sha2(whole("spoken"), 256).alias("turns_sha256"),
+        F.char_length(whole("loss")).cast("long").alias("loss_chars"),
+        F.sha2(whole("loss"), 256).alias("loss_sha256"),
+        total("n_chars").alias("formatted_chars"),
+    )
