@@ -1,5 +1,8 @@
 """A canonical text form of columns, and fingerprints made from it.
 
+Timestamps are counted in microseconds, so the text loses no digit and does not
+depend on the session's time zone.
+
 Equal values give equal text whatever the order in which map entries or
 columns are written; array order counts, except for columns declared as sets.
 """
@@ -43,7 +46,7 @@ def normal_form(column: Column, dtype: T.DataType) -> Column:
                 ),
             )
             return F.array_sort(entries, _by_key)
-        case T.ArrayType() if _nested(dtype.elementType):
+        case T.ArrayType() if _nested(dtype.elementType) or _is_time(dtype.elementType):
             return F.transform(column, lambda x: normal_form(x, dtype.elementType))
         case T.StructType():
             parts = [
@@ -53,9 +56,17 @@ def normal_form(column: Column, dtype: T.DataType) -> Column:
             return F.when(column.isNotNull(), F.struct(*parts))
         case T.VariantType():
             return F.to_json(column)
+        case T.TimestampType():
+            return F.unix_micros(column)
+        case T.TimestampNTZType():
+            return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column)
     return column
 
 
+def _is_time(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+
+
 def _by_key(a: Column, b: Column) -> Column:
     left, right = a.getField("key"), b.getField("key")
     return F.when(left < right, F.lit(-1)).when(left > right, F.lit(1)).otherwise(F.lit(0))

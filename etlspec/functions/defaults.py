@@ -38,6 +38,9 @@ def add_time_partitions(
     With ``create`` the timestamp is a new ``ingestion_timestamp`` holding the
     start of the query, the same value in every row.
     """
+    present = sorted(c for c in df.columns if c.lower() in units)
+    if present:
+        raise ValueError(f"the frame already has {', '.join(present)}; rename or drop it before adding time partitions")
     if create:
         timestamp_column = "ingestion_timestamp"
         df = df.withColumn(timestamp_column, F.current_timestamp())

@@ -62,12 +62,17 @@ def _outer(
 
 
 def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once: repeated ones are dropped before they are shuffled."""
-    return df.select(*map(quoted, keys)).distinct()
+    """Each key once: repeated ones are dropped before they are shuffled.
+
+    The distinct keys are dealt out again, because adaptive execution splits a
+    frequent key only where the join itself reads both shuffles.
+    """
+    return df.select(*map(quoted, keys)).distinct().repartition(*map(quoted, keys))
 
 
 def _without_clashes(left: DataFrame, right: DataFrame, keys: list[str], suffix: str | None) -> DataFrame:
-    shared = [c for c in right.columns if c in left.columns and c not in keys]
+    taken, own = {c.lower() for c in left.columns}, {k.lower() for k in keys}
+    shared = [c for c in right.columns if c.lower() in taken and c.lower() not in own]
     if not shared:
         return right
     if suffix is None:

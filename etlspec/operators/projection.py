@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -11,6 +12,9 @@ from etlspec.functions.columns import compile_column
 
 # The words a query may start with.
 QUERY_STARTS = ("select", "with", "from", "values", "table")
+# Quoted text, quoted names and comments of a query.
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.S)
+_WRITES = re.compile(r"\binsert\s+(?:into|overwrite)\b", re.I)
 
 
 def filter_rows(df: DataFrame, condition: str) -> DataFrame:
@@ -29,11 +33,13 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Rename all columns of ``mapping`` at once, so names can be swapped.
 
-    Old names the frame lacks are ignored. Two columns may not end up with the
+    Old names match in any case, as Spark resolves names; those the frame lacks
+    are ignored. Two columns may not end up with the
     same name.
     """
-    renamed = [mapping.get(c, c) for c in df.columns]
-    clashes = [n for n, count in Counter(renamed).items() if count > 1]
+    folded = {old.lower(): new for old, new in mapping.items()}
+    renamed = [mapping.get(c, folded.get(c.lower(), c)) for c in df.columns]
+    clashes = [n for n, count in Counter(c.lower() for c in renamed).items() if count > 1]
     if clashes and Counter(df.columns) != Counter(renamed):
         raise ValueError(f"rename gives several columns the name {', '.join(clashes)}")
     return df.toDF(*renamed)
@@ -47,13 +53,28 @@ def run_sql(spark: SparkSession, frames: Mapping[str, DataFrame], query: str) ->
     """Run a query that sees every frame under its name.
 
     The plan is analysed here and now, so a later rebinding of a name does not
-    change it.
+    change it, and the frames' names are gone afterwards: views that they hid
+    are back. Queries that write are refused.
     """
     first = query.lstrip(" \t\r\n(").split(None, 1)
     if not first or first[0].lower().rstrip("(") not in QUERY_STARTS:
         raise ValueError(f"a query must start with one of: {', '.join(QUERY_STARTS).upper()}")
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(query)
+    if _WRITES.search(_QUOTED.sub(" ", query)):
+        raise ValueError("a query may only read: it holds an INSERT")
+    shadowed = {n: spark.table(n) for n in frames if _is_temporary(spark, n)}
+    try:
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(query)
+    finally:
+        for name in frames:
+            if name in shadowed:
+                shadowed[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _is_temporary(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary
 
 

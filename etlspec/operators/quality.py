@@ -55,7 +55,7 @@ def pattern(col: str, regex: str, severity: str = "error") -> Rule:
     value = quoted(col)
     text = F.concat(F.lit('"'), value, F.lit(f'" does not match {regex}'))
     checked = _when(value == "", "is empty")
-    return Rule(col, lambda _: F.coalesce(checked, _when(~value.rlike(f"^(?:{regex})$"), text)), severity)
+    return Rule(col, lambda _: F.coalesce(checked, _when(~value.rlike(rf"\A(?:{regex})\z"), text)), severity)
 
 
 def _counted(cols: Sequence[str], bad: Callable[[Column], Column], message: str, severity: str) -> Rule:
@@ -98,22 +98,25 @@ def check_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> Dat
     No rule hides another. One narrow pass; rows without violations produce
     nothing.
     """
+    _refuse(keys, ["field", "message", "severity"])
     types = {f.name: f.dataType for f in df.schema.fields}
-    messages = F.array(*[rule.message(types) for rule in rules])
-    fields = F.array(*[F.lit(rule.field) for rule in rules])
-    severities = F.array(*[F.lit(rule.severity) for rule in rules])
-    return (
-        df.select(*map(quoted, keys), F.posexplode(messages).alias("__rule", "message"))
-        .filter(F.col("message").isNotNull())
-        .select(
-            *map(quoted, keys),
-            F.get(fields, F.col("__rule")).alias("field"),
-            "message",
-            F.get(severities, F.col("__rule")).alias("severity"),
-        )
+    found = [
+        F.struct(F.lit(rule.field).alias("field"), rule.message(types).alias("message"), F.lit(rule.severity).alias("severity"))
+        for rule in rules
+    ]
+    broken = F.filter(F.array(*found), lambda x: x["message"].isNotNull())
+    return df.select(*map(quoted, keys), F.explode_outer(broken).alias("__found")).filter("__found IS NOT NULL").select(
+        *map(quoted, keys), "__found.field", "__found.message", "__found.severity"
     )
 
 
+def _refuse(present: Sequence[str], added: Sequence[str]) -> None:
+    """Names are compared as Spark resolves them, in any case."""
+    clashes = sorted({c for c in present if c.lower() in {a.lower() for a in added}})
+    if clashes:
+        raise ValueError(f"the result adds columns of its own named {', '.join(clashes)}; rename them first")
+
+
 def find_duplicates(df: DataFrame, keys: Sequence[str], origin: str | None = None) -> DataFrame:
     """Keys that appear more than once, with every origin they come from.
 
@@ -127,6 +130,7 @@ def find_duplicates(df: DataFrame, keys: Sequence[str], origin: str | None = Non
     the repeated ones are looked up afterwards, so whole texts are not shuffled
     to find out that most of them occur once.
     """
+    _refuse(keys, ["n_rows"] if origin is None else ["origin", "n_origin", "n_rows"])
     types = {f.name: f.dataType for f in df.schema.fields}
     origins = [] if origin is None else ["origin"]
     named = [quoted(k).alias(f"__key{i}") for i, k in enumerate(keys)]
@@ -172,14 +176,18 @@ def _repeated(rows: DataFrame, by: Sequence[str], origins: Sequence[str]) -> Dat
     return per_origin.join(totals, same).select(*by, *origins, "n_origin", "n_rows")
 
 
-def find_orphans(df: DataFrame, ref_col: str, known: DataFrame, key_col: str) -> DataFrame:
-    """Rows whose reference is not a known key, with ``field`` and ``value``.
+def find_orphans(
+    df: DataFrame, ref_col: str, known: DataFrame, key_col: str, field_name: str = "field", value_name: str = "value"
+) -> DataFrame:
+    """Rows whose reference is not a known key, with its column and text under ``field_name`` and ``value_name``.
 
     A null reference is fine. Known keys are made distinct before they are
-    shuffled, so repeated ones cost nothing.
+    shuffled, so repeated ones cost nothing; then they are dealt out again, so
+    that the join reads both shuffles itself and a frequent reference is split.
     """
-    keys = known.select(quoted(key_col).alias("__known")).distinct()
+    _refuse(df.columns, [field_name, value_name])
+    keys = known.select(quoted(key_col).alias("__known")).distinct().repartition("__known")
     rows = df.filter(quoted(ref_col).isNotNull())
     return rows.join(keys, quoted(ref_col) == F.col("__known"), "left_anti").select(
-        "*", F.lit(ref_col).alias("field"), quoted(ref_col).cast("string").alias("value")
+        "*", F.lit(ref_col).alias(field_name), quoted(ref_col).cast("string").alias(value_name)
     )

@@ -178,8 +178,11 @@ def scope_subtree(df: DataFrame, path_col: str, prefix: str) -> DataFrame:
 
 
 def scope_to(other: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of ``other`` whose keys appear in ``df``."""
-    return other.join(df.select(*map(quoted, keys)).distinct(), list(keys), "left_semi")
+    """The rows of ``other`` whose keys appear in ``df``.
+
+    The distinct keys are dealt out again, so that a frequent key is split.
+    """
+    return other.join(df.select(*map(quoted, keys)).distinct().repartition(*map(quoted, keys)), list(keys), "left_semi")
 
 
 def existence(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -42,6 +42,6 @@ def jdbc_options(block: SourceSpec | SinkSpec, credentials: Credentials | None =
 
 def read_jdbc(spark: SparkSession, source: SourceSpec, credentials: Credentials | None = None) -> DataFrame:
     options = jdbc_options(source, credentials)
-    if "partitionColumn" not in options and "predicates" not in options:
+    if "partitionColumn" not in options:
         _log.warning('source "%s" is read by one task: set partitionColumn, lowerBound, upperBound', source.name)
     return spark.read.format("jdbc").options(**options).load()
