@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +16,8 @@ from etlspec.llm.common import column
 
 #: Windows that one task holds open; beyond it they are topped off.
 OPEN_WINDOWS = 2048
-#: Token ids of words that a task remembers.
-CACHED_WORDS = 500_000
+#: Words whose token ids a worker remembers, about 200 bytes each; beyond it, it starts anew.
+CACHED_WORDS = 1_500_000
 #: Bytes a tokenizer file may have, since it is broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
 
@@ -105,34 +108,61 @@ class WordEncoder:
 
     Tokenizers that never join text across ASCII white space, and drop it, give
     a text the ids of its words one after another; so each word is encoded once
-    and remembered.
+    and remembered. Signs after a word's last letter are encoded apart from it,
+    and capitals as small letters where the tokenizer makes no difference.
+
+    As a broadcast value it lives as long as a Python worker, so what it
+    remembers serves all tasks of that worker. Only the file is sent.
     """
 
-    def __init__(self, tokenizer: bytes) -> None:
+    def __init__(self, file: bytes) -> None:
+        self.file = file
+        self.tokenizer = None
+
+    def __getstate__(self) -> dict:
+        return {"file": self.file, "tokenizer": None}
+
+    def _open(self) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_buffer(tokenizer)
+        self.tokenizer = Tokenizer.from_buffer(self.file)
         self.known: dict[bytes, bytes] = {}
+        self.tail = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S)
+        letters = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABCXYZ The", "abcxyz the")]
+        self.small = letters[0] == letters[1]
+        signs = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("word,", "word", ",")]
+        self.apart = signs[0] == signs[1] + signs[2] and self.tokenizer.pre_tokenizer is not None
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts = {}
+        for word in words:
+            # special tokens are written with signs, so words that may hold one are left whole
+            found = self.tail.fullmatch(word) if self.apart and b"|" not in word and b"<" not in word else None
+            parts[word] = found.groups() if found else (word,)
+        new = list(set().union(*parts.values()).difference(self.known))
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.known[word] = array("I", found.ids).tobytes() if sys.byteorder == "little" else np.array(found.ids, "<u4").tobytes()
+        for word, (first, *rest) in parts.items():
+            if rest:
+                self.known[word] = self.known[first] + self.known[rest[0]]
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
+        if self.tokenizer is None:
+            self._open()
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        split = [(t.lower() if self.small and b"<|" not in t else t).split() for t in texts]
+        self._learn(set().union(*split).difference(self.known))
+        get = self.known.__getitem__
         return (b"".join(map(get, words)) for words in split)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: bytes, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    encode = WordEncoder(tokenizer)
+def _pack(batches: Iterator[pa.RecordBatch], encode: WordEncoder, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], dtype="<u4").tobytes()
     first = TaskContext.get().partitionId() << 40
     closed: list[list[tuple]] = []
@@ -214,7 +244,7 @@ def pack(
     if capacity < 2:
         raise ValueError("capacity is 2 or more")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tokenizer)
+    shared = spark.sparkContext.broadcast(WordEncoder(tokenizer))
     slim = docs.select(column(docs, id_col).alias("doc"), column(docs, text_col).cast("binary").alias("text"))
     schema = f"doc {slim.schema['doc'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     pieces = slim.mapInArrow(lambda batches: _pack(batches, shared.value, end_id, capacity), schema)
