@@ -17,8 +17,6 @@ from etlspec.llm.components import components
 
 #: Rows of a block that are compared in one task; a larger block is compared in pairs of such parts.
 PART_ROWS = 1024
-#: Blocks beyond the number of bits that may differ: so many blocks are equal in every close pair.
-EQUAL_BLOCKS = 3
 
 
 def fingerprint(text: Column, shingle_words: int) -> Column:
@@ -61,20 +59,21 @@ def fingerprint(text: Column, shingle_words: int) -> Column:
     return of(text.cast("binary"))
 
 
-def blocks(max_bits: int) -> list[int]:
+def blocks(max_bits: int, equal_blocks: int = 3) -> list[int]:
     """Masks such that fingerprints at most ``max_bits`` apart are equal under one of them.
 
-    The 64 bits are cut into ``max_bits`` + 3 pieces. At most ``max_bits`` of
-    them hold a differing bit, so three pieces at least are equal; there is a
-    mask for every choice of three.
+    The 64 bits are cut into ``max_bits`` + ``equal_blocks`` pieces. At most
+    ``max_bits`` of them hold a differing bit, so ``equal_blocks`` pieces at
+    least are equal; there is a mask for every choice of so many. More equal
+    blocks give longer keys, with fewer chance meetings, and more of them.
     """
     if not 0 <= max_bits <= 16:
         raise ValueError("max_bits is 0 to 16")
-    n = max_bits + EQUAL_BLOCKS
+    n = max_bits + equal_blocks
     ends = [64 * i // n for i in range(n + 1)]
     pieces = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
-    masks = [sum(chosen) for chosen in combinations(pieces, EQUAL_BLOCKS)]
-    assert len(masks) == comb(n, EQUAL_BLOCKS)
+    masks = [sum(chosen) for chosen in combinations(pieces, equal_blocks)]
+    assert len(masks) == comb(n, equal_blocks)
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -135,7 +134,7 @@ def _close(rows: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordB
         yield links(*parts(np.concatenate(held)))
 
 
-def close_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+def close_links(nodes: DataFrame, max_bits: int, equal_blocks: int = 3) -> DataFrame:
     """Edges (a, b) that connect all ``nodes(id, fp)`` whose fingerprints are at most ``max_bits`` apart.
 
     Fingerprints must be distinct. The edges have the components of all close
@@ -144,7 +143,9 @@ def close_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     different tasks, so no task holds more than two parts and no pair is lost.
     """
     spark = nodes.sparkSession
-    key = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(blocks(max_bits))]
+    key = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(blocks(max_bits, equal_blocks))]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(width, "fp")  # a small table, about to grow
     keyed = nodes.select("id", "fp", F.explode(F.array(*key)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
@@ -157,7 +158,6 @@ def close_links(nodes: DataFrame, max_bits: int) -> DataFrame:
         .select("key", "id", "fp", F.explode(F.when(F.col("parts") == 1, small).otherwise(met)).alias("at"))
         .select("key", "at.p", "at.q", "id", "fp")
     )
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.repartition(width, "key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
@@ -172,6 +172,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle_words: int = 5,
     max_bits: int = 3,
+    equal_blocks: int = 3,
 ) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (long) and ``component_id``.
 
@@ -186,7 +187,7 @@ def near_duplicates(
     marked = settled(docs.select(column(docs, id_col).cast("long").alias("id"), fingerprint(column(docs, text_col), shingle_words).alias("fp")))
     nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
     # a fingerprint is its own node, so that documents without an id link others too
-    links = close_links(nodes.select(F.col("fp").alias("id"), "fp"), max_bits)
+    links = close_links(nodes.select(F.col("fp").alias("id"), "fp"), max_bits, equal_blocks)
     found = components(links)
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -195,14 +196,20 @@ def near_duplicates(
 
 
 def keep_one(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 3
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 5,
+    max_bits: int = 3,
+    equal_blocks: int = 3,
 ) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the smallest id.
 
     Rows that share an id are one document and stay or go together. Rows without
     an id are kept, since nothing tells them apart.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits)
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits, equal_blocks=equal_blocks)
     gone = settled(groups.where(F.col(id_col) != F.col("component_id")).select(column(groups, id_col).cast("long").alias("gone_id")).distinct())
     mine = fresh(docs, "gone_id")[0]
     return docs.join(gone.withColumnRenamed("gone_id", mine), column(docs, id_col).cast("long") == F.col(mine), "left_anti")
