@@ -13,8 +13,8 @@ from etlspec.llm.queries import table, word_tokenizer
 
 #: A document goes if its probability of good quality is below this.
 LEAST_QUALITY = 0.3
-#: Bits that fingerprints of near copies may differ in, and blocks that are then equal: keys of 28 bits.
-NEAR_BITS, EQUAL_BLOCKS = 5, 4
+#: Documents are near copies if their fingerprints differ in so many bits at most, or their shingles are that similar.
+NEAR_BITS, NEAR_SIMILARITY = 3, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, by fingerprints of five-word shingles."""
-    return simhash.keep_one(docs, shingle_words=5, max_bits=NEAR_BITS, equal_blocks=EQUAL_BLOCKS)
+    """Keep one document of each group of near copies, by fingerprints and sketches of five-word shingles."""
+    return simhash.keep_one(docs, shingle_words=5, max_bits=NEAR_BITS, similarity=NEAR_SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -17,6 +17,10 @@ from etlspec.llm.components import components
 
 #: Rows of a block that are compared in one task; a larger block is compared in pairs of such parts.
 PART_ROWS = 1024
+#: Min-hashes of a sketch, of which one byte each is kept, and the first of them that form block keys: bands times rows.
+SKETCH, BANDS, BAND_ROWS = 512, 16, 5
+#: As PART_ROWS, for sketches: pairs that are linked already cost little.
+SKETCH_PART_ROWS = 4096
 
 
 def fingerprint(text: Column, shingle_words: int) -> Column:
@@ -77,13 +81,50 @@ def blocks(max_bits: int, equal_blocks: int = 3) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _close(rows: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Links within blocks. ``rows(key, p, q, own, id, fp)`` come sorted by key, p and q.
+def sketch(text: Column, shingle_words: int) -> Column:
+    """(sketch, bands): one byte of each of ``SKETCH`` min-hashes over the set of a text's shingles, and its block keys.
+
+    Words and shingles are those of ``fingerprint``. The share of equal bytes of
+    two sketches estimates the Jaccard similarity of the two sets, with a
+    standard error below two points at 0.8. Texts whose similarity is 0.8 share
+    a block with a probability of 0.998. Null for texts without a word.
+    """
+    rng = np.random.default_rng(42)
+    masks = rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)[:, None]
+    factors = (rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * 2 + 1)[:, None]
+
+    @F.pandas_udf("sketch binary, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        digest = xxhash.xxh32_intdigest
+
+        def one(data: bytes | None) -> tuple:
+            words = data.lower().split() if data else ()
+            if not words:
+                return None, None
+            runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
+            hashes = np.fromiter((digest(x, 42) for x in runs), np.uint32, len(runs))
+            least = np.full(SKETCH, (1 << 32) - 1, np.uint32)
+            for i in range(0, len(hashes), 1024):
+                least = np.minimum(least, ((hashes[i : i + 1024] ^ masks) * factors).min(1))
+            rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+            keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(rows)]
+            return ((least >> 12) & 255).astype(np.uint8).tobytes(), keys
+
+        for batch in batches:
+            yield pd.DataFrame([one(x) for x in batch], columns=["sketch", "bands"])
+
+    return of(text.cast("binary"))
+
+
+def _close(rows: Iterator[pa.RecordBatch], near: Callable[[np.ndarray, np.ndarray], np.ndarray], mark: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Links within blocks. ``rows(key, p, q, id, mark)`` come sorted by key, p and q; ``near`` compares marks.
 
     Of each block a spanning forest of its links leaves, not all pairs.
     """
 
-    def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def links(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
         label = np.arange(len(ids))
         at, step = np.arange(len(ids)), 1
         while True:
@@ -91,18 +132,19 @@ def _close(rows: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordB
             at = at[keys[at] == keys[at + step]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits]
+            # pairs that are linked already need no test
+            a = at[label[at] != label[at + step]]
+            a = a[near(marks[a], marks[a + step])]
+            b = a + step
             # one link for each row and step at most: joined as they come, so that few are held
-            if len(near):
-                a, b = near, near + step
-                while len(a):
-                    x, y = label[a], label[b]
-                    low, high = np.minimum(x, y), np.maximum(x, y)
-                    np.minimum.at(label, high, low)
-                    while not np.array_equal(label, flat := label[label]):
-                        label = flat
-                    left = label[a] != label[b]
-                    a, b = a[left], b[left]
+            while len(a):
+                x, y = label[a], label[b]
+                low, high = np.minimum(x, y), np.maximum(x, y)
+                np.minimum.at(label, high, low)
+                while not np.array_equal(label, flat := label[label]):
+                    label = flat
+                left = label[a] != label[b]
+                a, b = a[left], b[left]
             step += 1
         linked = np.flatnonzero(label != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], ["a", "b"])
@@ -112,14 +154,15 @@ def _close(rows: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordB
     def parts(block: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.ones(len(block), bool)
         new[1:] = (block["key"][1:] != block["key"][:-1]) | (block["p"][1:] != block["p"][:-1]) | (block["q"][1:] != block["q"][:-1])
-        return np.cumsum(new), block["id"], block["fp"]
+        return np.cumsum(new), block["id"], block["mark"]
 
-    kind = np.dtype([("key", "i8"), ("p", "i4"), ("q", "i4"), ("id", "i8"), ("fp", "u8")])
+    kind = np.dtype([("key", "i8"), ("p", "i4"), ("q", "i4"), ("id", "i8"), ("mark", mark)])
     for batch in rows:
         block = np.empty(batch.num_rows, kind)
-        for name in kind.names:
-            values = batch.column(name).to_numpy(zero_copy_only=False)
-            block[name] = values.view("u8") if name == "fp" else values
+        for name in kind.names[:-1]:
+            block[name] = batch.column(name).to_numpy(zero_copy_only=False)
+        marks = batch.column("mark")
+        block["mark"] = np.frombuffer(b"".join(marks.to_pylist()) if pa.types.is_binary(marks.type) else marks.to_numpy().tobytes(), mark)
         held.append(block)
         if not len(block) or sum(map(len, held)) < 8 * PART_ROWS:
             continue
@@ -134,37 +177,56 @@ def _close(rows: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordB
         yield links(*parts(np.concatenate(held)))
 
 
-def close_links(nodes: DataFrame, max_bits: int, equal_blocks: int = 3) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes(id, fp)`` whose fingerprints are at most ``max_bits`` apart.
+def _block_links(keyed: DataFrame, marks: DataFrame, near: Callable, mark: np.dtype, part_rows: int) -> DataFrame:
+    """Edges (a, b) between rows of ``keyed(key, id)`` that share a key and whose marks in ``marks(id, mark)`` are near.
 
-    Fingerprints must be distinct. The edges have the components of all close
-    pairs, with fewer than one edge for each row of a block. A block of more
-    than ``PART_ROWS`` rows is cut into parts and compared part against part in
-    different tasks, so no task holds more than two parts and no pair is lost.
+    Only rows that share a key with another take their mark along. A block of
+    more than ``part_rows`` rows is cut into parts and compared part against
+    part in different tasks, so no task holds more than two parts and no pair is
+    lost.
     """
-    spark = nodes.sparkSession
-    key = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(blocks(max_bits, equal_blocks))]
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = nodes.repartition(width, "fp")  # a small table, about to grow
-    keyed = nodes.select("id", "fp", F.explode(F.array(*key)).alias("key"))
+    width = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit("part")), parts.cast("long")).cast("int")
+    parts = F.ceil(F.col("n") / part_rows).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("part")), parts.cast("long")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
     small = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
     rows = (
         keyed.join(sizes, "key")
-        .select("key", "id", "fp", parts.alias("parts"), own.alias("own"))
-        .select("key", "id", "fp", F.explode(F.when(F.col("parts") == 1, small).otherwise(met)).alias("at"))
-        .select("key", "at.p", "at.q", "id", "fp")
+        .join(marks, "id")
+        .select("key", "id", "mark", parts.alias("parts"), own.alias("own"))
+        .select("key", "id", "mark", F.explode(F.when(F.col("parts") == 1, small).otherwise(met)).alias("at"))
+        .select("key", "at.p", "at.q", "id", "mark")
     )
     return (
         rows.repartition(width, "key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
-        .mapInArrow(lambda batches: _close(batches, max_bits), "a long, b long")
+        .mapInArrow(lambda batches: _close(batches, near, mark), "a long, b long")
     )
 
 
+def close_links(nodes: DataFrame, max_bits: int, equal_blocks: int = 3) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes(id, fp)`` whose fingerprints are at most ``max_bits`` apart.
+
+    Fingerprints must be distinct. The edges have the components of all close
+    pairs, with fewer than one edge for each row of a block.
+    """
+    key = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(blocks(max_bits, equal_blocks))]
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(width, "id")  # a small table, about to grow
+    keyed = nodes.select("id", F.explode(F.array(*key)).alias("key"))
+    near = lambda a, b: np.bitwise_count(a ^ b) <= max_bits
+    return _block_links(keyed, nodes.select("id", F.col("fp").alias("mark")), near, np.dtype("u8"), PART_ROWS)
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes(id, sketch, bands)`` that share a band and whose sketches agree in that share of bytes."""
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    near = lambda a, b: (a == b).sum(1, dtype=np.int32) >= similarity * SKETCH
+    marks = nodes.where("sketch IS NOT NULL").select("id", F.col("sketch").alias("mark"))
+    return _block_links(keyed, marks, near, np.dtype(("u1", (SKETCH,))), SKETCH_PART_ROWS)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -173,26 +235,40 @@ def near_duplicates(
     shingle_words: int = 5,
     max_bits: int = 3,
     equal_blocks: int = 3,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (long) and ``component_id``.
 
     Documents link when their fingerprints differ in at most ``max_bits`` bits;
-    ``component_id`` is the smallest id that links reach, itself included.
-    Equal fingerprints meet in an aggregation before anything else, so copies
+    ``component_id`` is the smallest id that links reach, itself included. With
+    ``similarity``, documents whose sets of shingles have that Jaccard
+    similarity link as well, which few bits of a fingerprint can't tell; it is
+    estimated from min-hash sketches, see ``sketch``. Equal fingerprints meet in an aggregation before anything else, so copies
     never form pairs. Null and blank texts have fingerprint zero and link like
     any other. A null id counts as no id: such a row keeps its group's
     component, which is null if the group has no id at all. Repeated rows give
     repeated rows, an empty table gives none, and other columns are not used.
     """
-    marked = settled(docs.select(column(docs, id_col).cast("long").alias("id"), fingerprint(column(docs, text_col), shingle_words).alias("fp")))
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    # a fingerprint is its own node, so that documents without an id link others too
-    links = close_links(nodes.select(F.col("fp").alias("id"), "fp"), max_bits, equal_blocks)
+    text = column(docs, text_col)
+    marked = docs.select(column(docs, id_col).cast("long").alias("id"), fingerprint(text, shingle_words).alias("fp"), text.alias("text"))
+    # a fingerprint, or a sketch, is its own node, so that documents without an id link others too
+    if similarity is None:
+        marked = settled(marked.select("id", "fp", F.col("fp").alias("node")))
+        links = close_links(marked.select(F.col("fp").alias("id"), "fp").distinct(), max_bits, equal_blocks)
+    else:
+        sketched = marked.withColumn("s", sketch(F.col("text"), shingle_words)).select("id", "fp", "s.sketch", "s.bands")
+        marked = settled(sketched.withColumn("node", F.xxhash64("fp", "sketch")))
+        nodes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "bands")]).withColumnRenamed("node", "id")
+        nodes = settled(nodes)
+        prints = nodes.groupBy("fp").agg(F.min("id").alias("id"))
+        equal = nodes.select("id", "fp").join(prints.withColumnRenamed("id", "b"), "fp").where("id <> b").select(F.col("id").alias("a"), "b")
+        links = close_links(prints, max_bits, equal_blocks).unionByName(equal).unionByName(similar_links(nodes, similarity))
     found = components(links)
-    placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    least = marked.groupBy("node").agg(F.min("id").alias("least"))
+    placed = least.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    classes = placed.select("node", "root").join(lowest, "root").select("node", "component_id")
+    return marked.join(classes, "node").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(
@@ -203,13 +279,16 @@ def keep_one(
     shingle_words: int = 5,
     max_bits: int = 3,
     equal_blocks: int = 3,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the smallest id.
 
     Rows that share an id are one document and stay or go together. Rows without
     an id are kept, since nothing tells them apart.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits, equal_blocks=equal_blocks)
+    groups = near_duplicates(
+        docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits, equal_blocks=equal_blocks, similarity=similarity
+    )
     gone = settled(groups.where(F.col(id_col) != F.col("component_id")).select(column(groups, id_col).cast("long").alias("gone_id")).distinct())
     mine = fresh(docs, "gone_id")[0]
     return docs.join(gone.withColumnRenamed("gone_id", mine), column(docs, id_col).cast("long") == F.col(mine), "left_anti")

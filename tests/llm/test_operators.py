@@ -83,6 +83,31 @@ def test_large_blocks_are_compared_in_parts(spark, monkeypatch):
     assert found == {p: g for p, g in label.items() if p not in alone}
 
 
+def test_similar_texts_link(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(simhash, "SKETCH_PART_ROWS", 4)
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    texts, want = [None, ""], [0, 0]
+    for g in range(12):
+        base, first = rng.choices(vocabulary, k=rng.randrange(120, 400)), len(texts)
+        for copy in range(8):
+            words = list(base)
+            for _ in range(len(base) // 90 if copy else 0):  # a Jaccard similarity of about 0.9 with the first
+                words[rng.randrange(len(words))] = "edited"
+            texts.append(" ".join(words))
+            want.append(first)
+        half = base[: len(base) // 2] + rng.choices(vocabulary, k=len(base) - len(base) // 2)  # about 0.3
+        want.append(len(texts))
+        texts.append(" ".join(half))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    kept = simhash.keep_one(docs, similarity=0.8)
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    assert kept.where("doc_id IN (0, 1, 2, 4, 5)").select("doc_id").distinct().count() == 2  # blank; long
+    assert simhash.near_duplicates(empty, similarity=0.8).count() == 0
+
+
 def test_line_dedup(docs, empty):
     out = lines.dedup_lines(docs, max_ratio=0.2, min_pages=3)
     rows, pages = docs.collect(), {}
