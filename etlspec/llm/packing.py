@@ -191,6 +191,7 @@ def _pack(batches: Iterator[pa.RecordBatch], encode: WordEncoder, end_id: int, c
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))
 
     kind = None
+    pa.default_memory_pool().release_unused()  # what earlier tasks left in this worker
     for batch in batches:
         kind = batch.schema.field(0).type
         rows = batch.num_rows
