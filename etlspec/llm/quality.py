@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from etlspec.llm.common import column, held_out, without
 
 BITS = 20
-#: Bytes of text whose features are computed at once.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text whose features are computed at once; arrays of that length stay in the processor's cache.
+BLOCK_BYTES = 1 << 17
 
 
 def _byte_classes() -> np.ndarray:
