@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -16,8 +17,10 @@ from etlspec.llm.common import column
 
 #: Windows that one task holds open; beyond it they are topped off.
 OPEN_WINDOWS = 2048
-#: Words whose token ids a worker remembers, about 200 bytes each; beyond it, it starts anew.
-CACHED_WORDS = 1_500_000
+#: Words whose token ids a worker remembers, about 200 bytes each; beyond it, those not met lately are forgotten.
+CACHED_WORDS = 600_000
+#: Bytes of text that are split and encoded at a time, but one document at least.
+TEXT_BYTES = 1 << 20
 #: Bytes a tokenizer file may have, since it is broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
 
@@ -130,6 +133,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(self.file)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # met before as many words as known may hold
         self.tail = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S)
         letters = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABCXYZ The", "abcxyz the")]
         self.small = letters[0] == letters[1]
@@ -139,6 +143,9 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         parts = {}
         for word in words:
+            if word in self.older:
+                self.known[word] = self.older[word]
+                continue
             # special tokens are written with signs, so words that may hold one are left whole
             found = self.tail.fullmatch(word) if self.apart and b"|" not in word and b"<" not in word else None
             parts[word] = found.groups() if found else (word,)
@@ -154,8 +161,8 @@ class WordEncoder:
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         if self.tokenizer is None:
             self._open()
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if len(self.known) > CACHED_WORDS // 2:
+            self.older, self.known = self.known, {}
         split = [(t.lower() if self.small and b"<|" not in t else t).split() for t in texts]
         self._learn(set().union(*split).difference(self.known))
         get = self.known.__getitem__
@@ -194,11 +201,12 @@ def _pack(batches: Iterator[pa.RecordBatch], encode: WordEncoder, end_id: int, c
     pa.default_memory_pool().release_unused()  # what earlier tasks left in this worker
     for batch in batches:
         kind = batch.schema.field(0).type
-        rows = batch.num_rows
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, rows, 256):
-            part = [x or b"" for x in texts[at : at + 256]]
-            for name, ids in zip(docs[at : at + 256], encode(part)):
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        # rows whose texts begin in the same stretch of TEXT_BYTES go together
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes, dtype=np.int64) - sizes) // TEXT_BYTES, prepend=-1)).tolist()
+        for at, to in zip(starts, [*starts[1:], batch.num_rows]):
+            part = batch.slice(at, to - at)
+            for name, ids in zip(part.column(0).to_pylist(), encode([x or b"" for x in part.column(1).to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 names[n_docs] = (name, total, total)

@@ -173,6 +173,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty, data).count() == 0
 
 
+def test_forgotten_words_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    data = word_tokenizer()
+    encode, tokenizer = packing.WordEncoder(data), Tokenizer.from_buffer(data)
+    rng = random.Random(7)
+    pool = WORDS + [w + sign for w in WORDS for sign in (",", ".", "!?")] + [f"new{i}," for i in range(60)] + ["ÀÉ.", "<|x|>", "--"]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(pool, k=rng.randrange(12))) for _ in range(4)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode.known) + len(encode.older) < len(pool) * 2
+
+
 def test_sum_of_squares_rule():
     closed = []
     packer = packing.SumOfSquares(10, closed.append)
