@@ -6,6 +6,8 @@ folder, so the table itself is the expected result.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -28,9 +30,8 @@ def _written(spark, sf_dir, name, sink, **rest):
 
 
 def _new_table(spark, name):
-    """The name of an external table, dropped if an earlier run left it (its files stay)."""
-    spark.sql(f"DROP TABLE IF EXISTS default.{name}")
-    return name
+    """A table name of this run alone, so that runs on one metastore leave each other's tables be."""
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 def _read(spark, **fields):
@@ -54,12 +55,13 @@ def src_csv(spark, sf_dir):
     return _read(spark, type="s3", format="csv", path=path, options=options)
 
 
-@query("src_json", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("src_json", "SELECT * FROM events")
 def src_json(spark, sf_dir):
     path = scratch(spark)
-    table(spark, sf_dir, "events").drop("ts").write.json(path)
-    schema = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-    return _read(spark, type="s3", format="json", path=path, options={"schema": schema})
+    form = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    table(spark, sf_dir, "events").write.options(**form).json(path)
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    return _read(spark, type="s3", format="json", path=path, options={"schema": schema, **form})
 
 
 @query("src_orc", "SELECT * FROM lineitem")
@@ -76,13 +78,13 @@ def src_catalog(spark, sf_dir):
     return _read(spark, type="catalog", database="default", table=name)
 
 
-@query("src_api", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("src_api", "SELECT * FROM customer")
 def src_api(spark, sf_dir):
     """JSON lines written by Spark stand in for the responses: one URL per file."""
     path = scratch(spark)
-    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").write.json(path)
+    table(spark, sf_dir, "customer").write.json(path)
     urls = sorted(spark.read.text(path).inputFiles())
-    options = {"urls": urls, "schema": "c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE"}
+    options = {"urls": urls, "schema": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"}
     return _read(spark, type="api", url=urls[0], options=options)
 
 

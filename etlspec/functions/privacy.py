@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
     "USA_SSN": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "CREDIT_CARD": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}\b",
+    "CREDIT_CARD": r"\b(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})\b",
     "IP_ADDRESS": r"\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\b",
     "PHONE_NUMBER": r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
 }

@@ -128,15 +128,26 @@ def read_http(spark: SparkSession, source: SourceSpec) -> DataFrame:
     are fetched once more to find them; the inference runs on the executors and
     only the schema text returns. ``options.urls`` lists several URLs of one
     data set, each read by its own task.
+
+    An item that does not fit the schema fails the query. ``options.mode:
+    PERMISSIVE`` makes it a row of nulls instead; a schema with a string column
+    named by ``options.columnNameOfCorruptRecord`` then keeps its text.
     """
     text = http_text(spark, source)
     schema = source.options.get("schema") or inferred_schema(text)
-    return text.select(F.from_json("body", schema).alias("item")).select("item.*")
+    options = {"mode": "FAILFAST"} | {k: v for k, v in reader_options(source.options).items() if k != "urls"}
+    return text.select(F.from_json("body", schema, options).alias("item")).select("item.*")
 
 
 def inferred_schema(text: DataFrame) -> str:
     found = text.agg(F.schema_of_variant_agg(F.parse_json("body"))).first()[0]
     if not found or not found.startswith("OBJECT<"):
         raise ValueError(f"the response items are not JSON objects ({found}); give a schema in the options")
-    # Fractions are read as doubles, like Spark's JSON source does.
-    return re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", found).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+
+    def written(part: re.Match) -> str:
+        if part["decimal"]:
+            return "DOUBLE"  # like Spark's JSON source
+        return {"OBJECT": "STRUCT", "VOID": "STRING"}.get(part[0], part[0])
+
+    # Names, quoted or before a colon, are passed over as a whole.
+    return re.sub(r"`(?:[^`]|``)*`|\w+:|(?P<decimal>DECIMAL\(\d+, ?\d+\))|\w+", written, found)

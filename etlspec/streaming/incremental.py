@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from etlspec.operators.sizes import SPLIT_ROWS
 from etlspec.plans.pipeline import output_sink, plan
 from etlspec.plans.spec import PipelineSpec, load_spec
 from etlspec.sinks.write import write_sink
@@ -35,12 +36,15 @@ def run_incremental(
     allow_code: bool = False,
     credentials: Credentials | None = None,
     provider: str = "iceberg",
+    split_rows: int | None = SPLIT_ROWS,
 ) -> None:
     """Process everything that arrived since the last call, then return.
 
     ``stream`` names the source to follow (default: the first one that can be);
     the others are read in full for every micro-batch. ``checkpoint`` remembers
-    what was processed and must be on storage all executors share.
+    what was processed and must be on storage all executors share. ``split_rows``
+    is that of ``run_pipeline``; None spares every micro-batch the passes that
+    look for large groups.
 
     A file sink is written below ``ingest_run=<id>/ingest_batch=<n>``, and a
     batch that is repeated after a failure replaces its own directory, so no row
@@ -59,7 +63,7 @@ def run_incremental(
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         bound = {s.name: batch if s is followed else fixed[s.name] for s in spec.sources} | given
-        result = plan(session, spec, bound, tuple(given), allow_code, project_dir)
+        result = plan(session, spec, bound, tuple(given), allow_code, project_dir, split_rows)
         run = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         _write_batch(result.output, spec, run, batch_id, credentials, provider)
 

@@ -20,6 +20,7 @@ NEAR_MISSES = ["12-34-5678", "1.2.3", "a@b", "@x.com", "12345", "555-12-123", "2
         ("ssn 123-45-6789.", "ssn [USA_SSN]."),
         ("card 4111 1111 1111 1111 or 4111-1111-1111-1111", "card [CREDIT_CARD] or [CREDIT_CARD]"),
         ("4111111111111111", "[CREDIT_CARD]"),
+        ("3782 822463 10005 or 3782-822463-10005", "[CREDIT_CARD] or [CREDIT_CARD]"),
         ("from 10.0.0.255 to", "from [IP_ADDRESS] to"),
         ("call (555) 123-4567 or +1 555-123-4567", "call [PHONE_NUMBER] or [PHONE_NUMBER]"),
         ("a@b.com_x@y.org,z@w.net", "[EMAIL][EMAIL],[EMAIL]"),

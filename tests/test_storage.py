@@ -199,6 +199,26 @@ def test_http_source(spark, tmp_path):
     assert collected(both) == [(1, 1.5), (2, 2.0), (3, 0.25)]
 
 
+def test_http_names_like_types(spark, tmp_path):
+    page = tmp_path / "page.json"
+    page.write_text('[{"VOID_REASON": "x", "VOID": null, "OBJECT": {"DECIMAL": 1.5}, "a VOID<b": [null]}]')
+    found = read(spark, type="api", url=page.as_uri())
+    types = {f.name: f.dataType.simpleString() for f in found.schema}
+    assert types == {"VOID_REASON": "string", "VOID": "string", "OBJECT": "struct<DECIMAL:double>", "a VOID<b": "array<string>"}
+    assert found.select("VOID_REASON", "OBJECT.DECIMAL").first() == ("x", 1.5)
+
+
+def test_http_item_outside_the_schema(spark, tmp_path):
+    page = tmp_path / "page.json"
+    page.write_text('[{"id": 1}, {"id": "no number"}]')
+    options = {"schema": "id INT, bad STRING"}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read(spark, type="api", url=page.as_uri(), options=options).collect()
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    kept = read(spark, type="api", url=page.as_uri(), options=options).collect()
+    assert [(r.id, r.bad and json.loads(r.bad)) for r in kept] == [(1, None), (None, {"id": "no number"})]
+
+
 # --- added kinds
 
 
