@@ -21,6 +21,27 @@ PART_ROWS = 1024
 SKETCH, BANDS, BAND_ROWS = 512, 16, 5
 #: As PART_ROWS, for sketches: pairs that are linked already cost little.
 SKETCH_PART_ROWS = 4096
+#: Sketches pick pairs down to so much below the similarity asked for, over four standard errors at 0.8.
+MARGIN = 0.08
+#: As PART_ROWS, for sets of shingles, and the bytes of sets in such a part.
+SET_PART_ROWS, SET_PART_BYTES = 512, 32 << 20
+
+
+def _hashes(data: bytes | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle_words`` words, repeats included; of all words if there are fewer, of none if none."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    words = data.lower().split() if data else ()
+    if not words:
+        return np.empty(0, "<u8")
+    joined = b" ".join(words)
+    if len(words) <= shingle_words:
+        return np.array([digest(joined, 42)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle_words + 1].tolist()
+    stops = (ends[shingle_words - 1 :] - 1).tolist()
+    return np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8")
 
 
 def fingerprint(text: Column, shingle_words: int) -> Column:
@@ -34,22 +55,12 @@ def fingerprint(text: Column, shingle_words: int) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
         bits_of_byte = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
         def one(data: bytes | None) -> int:
-            words = data.lower().split() if data else ()
-            if not words:
+            hashes = _hashes(data, shingle_words)
+            if not len(hashes):
                 return 0
-            joined = b" ".join(words)
-            if len(words) <= shingle_words:
-                return int(np.array(digest(joined, 42), dtype=np.uint64).astype(np.int64))
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle_words + 1].tolist()
-            stops = (ends[shingle_words - 1 :] - 1).tolist()
-            hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8")
             parts = hashes.view(np.uint8).reshape(-1, 8)
             if len(parts) < 2000:
                 counts = np.unpackbits(parts, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -82,42 +93,66 @@ def blocks(max_bits: int, equal_blocks: int = 3) -> list[int]:
 
 
 def sketch(text: Column, shingle_words: int) -> Column:
-    """(sketch, bands): one byte of each of ``SKETCH`` min-hashes over the set of a text's shingles, and its block keys.
+    """(sketch, bands, digest): one byte of each of ``SKETCH`` min-hashes over the set of a text's shingles, its block keys, a hash of the set.
 
     Words and shingles are those of ``fingerprint``. The share of equal bytes of
     two sketches estimates the Jaccard similarity of the two sets, with a
-    standard error below two points at 0.8. Texts whose similarity is 0.8 share
-    a block with a probability of 0.998. Null for texts without a word.
+    standard error below two points at 0.8, so it picks pairs and decides none.
+    Texts whose similarity is 0.8 share a block with a probability of 0.998.
+    Null for texts without a word.
     """
     rng = np.random.default_rng(42)
     masks = rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)[:, None]
     factors = (rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * 2 + 1)[:, None]
 
-    @F.pandas_udf("sketch binary, bands array<long>")
+    @F.pandas_udf("sketch binary, bands array<long>, digest long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        digest = xxhash.xxh32_intdigest
-
         def one(data: bytes | None) -> tuple:
-            words = data.lower().split() if data else ()
-            if not words:
-                return None, None
-            runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
-            hashes = np.fromiter((digest(x, 42) for x in runs), np.uint32, len(runs))
+            runs = np.unique(_hashes(data, shingle_words))
+            if not len(runs):
+                return None, None, None
+            hashes = (runs >> np.uint64(32)).astype(np.uint32)
             least = np.full(SKETCH, (1 << 32) - 1, np.uint32)
             for i in range(0, len(hashes), 1024):
                 least = np.minimum(least, ((hashes[i : i + 1024] ^ masks) * factors).min(1))
             rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
             keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(rows)]
-            return ((least >> 12) & 255).astype(np.uint8).tobytes(), keys
+            return _kept_byte(least).tobytes(), keys, xxhash.xxh64_intdigest(runs.tobytes(), 7) - (1 << 63)
+
+        for batch in batches:
+            yield pd.DataFrame([one(x) for x in batch], columns=["sketch", "bands", "digest"]).astype({"digest": "Int64"})
+
+    return of(text.cast("binary"))
+
+
+def _kept_byte(least: np.ndarray) -> np.ndarray:
+    """A byte that depends on all 32 bits: minima of long texts are small numbers."""
+    x = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (x >> np.uint32(24)).astype(np.uint8)
 
+
+def shingle_set(text: Column, shingle_words: int) -> Column:
+    """The set of a text's shingles, as their sorted 64-bit hashes, eight bytes each."""
+
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch], columns=["sketch", "bands"])
+            yield pd.Series([np.unique(_hashes(x, shingle_words)).tobytes() for x in batch], dtype=object)
 
     return of(text.cast("binary"))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets, each a sorted array that is not empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common)
+
+
 def _close(rows: Iterator[pa.RecordBatch], near: Callable[[np.ndarray, np.ndarray], np.ndarray], mark: np.dtype) -> Iterator[pa.RecordBatch]:
     """Links within blocks. ``rows(key, p, q, id, mark)`` come sorted by key, p and q; ``near`` compares marks.
 
@@ -150,6 +185,7 @@ def _close(rows: Iterator[pa.RecordBatch], near: Callable[[np.ndarray, np.ndarra
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], ["a", "b"])
 
     held: list[np.ndarray] = []
+    weight = 0  # bytes of marks since the last links
 
     def parts(block: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.ones(len(block), bool)
@@ -162,10 +198,15 @@ def _close(rows: Iterator[pa.RecordBatch], near: Callable[[np.ndarray, np.ndarra
         for name in kind.names[:-1]:
             block[name] = batch.column(name).to_numpy(zero_copy_only=False)
         marks = batch.column("mark")
-        block["mark"] = np.frombuffer(b"".join(marks.to_pylist()) if pa.types.is_binary(marks.type) else marks.to_numpy().tobytes(), mark)
+        if mark == object:
+            block["mark"] = marks.to_pylist()
+            weight += marks.nbytes
+        else:
+            block["mark"] = np.frombuffer(b"".join(marks.to_pylist()) if pa.types.is_binary(marks.type) else marks.to_numpy().tobytes(), mark)
         held.append(block)
-        if not len(block) or sum(map(len, held)) < 8 * PART_ROWS:
+        if not len(block) or (sum(map(len, held)) < 8 * PART_ROWS and weight < SET_PART_BYTES):
             continue
+        weight = 0
         block = np.concatenate(held)
         last = block[-1]
         same = (block["key"] == last["key"]) & (block["p"] == last["p"]) & (block["q"] == last["q"])
@@ -177,17 +218,19 @@ def _close(rows: Iterator[pa.RecordBatch], near: Callable[[np.ndarray, np.ndarra
         yield links(*parts(np.concatenate(held)))
 
 
-def _block_links(keyed: DataFrame, marks: DataFrame, near: Callable, mark: np.dtype, part_rows: int) -> DataFrame:
+def _block_links(keyed: DataFrame, marks: DataFrame, near: Callable, mark: np.dtype, part_rows: int, part_bytes: int | None = None) -> DataFrame:
     """Edges (a, b) between rows of ``keyed(key, id)`` that share a key and whose marks in ``marks(id, mark)`` are near.
 
     Only rows that share a key with another take their mark along. A block of
     more than ``part_rows`` rows is cut into parts and compared part against
     part in different tasks, so no task holds more than two parts and no pair is
-    lost.
+    lost. With ``part_bytes``, ``keyed`` has the ``bytes`` of each row too, and
+    parts hold about so many.
     """
     width = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / part_rows).cast("int")
+    heavy = F.sum("bytes") / part_bytes if part_bytes else F.lit(0.0)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), heavy.alias("heavy")).where("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / part_rows, "heavy")).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("part")), parts.cast("long")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
     small = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
@@ -219,14 +262,40 @@ def close_links(nodes: DataFrame, max_bits: int, equal_blocks: int = 3) -> DataF
     return _block_links(keyed, nodes.select("id", F.col("fp").alias("mark")), near, np.dtype("u8"), PART_ROWS)
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes(id, sketch, bands)`` that share a band and whose sketches agree in that share of bytes."""
+def likely_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes(id, sketch, bands)`` that share a band and whose sketches agree in nearly that share of bytes."""
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    near = lambda a, b: (a == b).sum(1, dtype=np.int32) >= similarity * SKETCH
+    near = lambda a, b: (a == b).sum(1, dtype=np.int32) >= (similarity - MARGIN) * SKETCH
     marks = nodes.where("sketch IS NOT NULL").select("id", F.col("sketch").alias("mark"))
     return _block_links(keyed, marks, near, np.dtype(("u1", (SKETCH,))), SKETCH_PART_ROWS)
 
 
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between ``nodes(id, sketch, bands, text_key)`` whose sets of shingles have that Jaccard similarity.
+
+    The components of likely pairs are the blocks. In a block, each pair whose
+    sketches nearly agree, and that links don't connect yet, is decided by the
+    sets themselves. ``texts(text_key, text)`` may repeat; only texts of likely
+    pairs give sets.
+    """
+    likely = components(likely_links(nodes, similarity)).withColumnsRenamed({"node": "id", "component": "key"})
+    wanted = nodes.join(likely, "id").select("id", "key", "sketch", "text_key")
+    one = texts.groupBy("text_key").agg(F.first("text").alias("text"))  # combines copies before the shuffle
+    sets = settled(wanted.join(one, "text_key").select("id", "key", F.concat("sketch", shingle_set(F.col("text"), shingle_words)).alias("mark")))
+
+    heads = lambda marks: np.frombuffer(b"".join([x[:SKETCH] for x in marks]), np.uint8).reshape(-1, SKETCH)
+    whole = lambda mark: np.frombuffer(mark, "<u8", offset=SKETCH)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (heads(a) == heads(b)).sum(1, dtype=np.int32) >= (similarity - MARGIN) * SKETCH
+        for i in np.flatnonzero(out):
+            out[i] = jaccard(whole(a[i]), whole(b[i])) >= similarity
+        return out
+
+    keyed = sets.select("id", "key", F.octet_length("mark").cast("long").alias("bytes"))
+    return _block_links(keyed, sets.select("id", "mark"), near, np.dtype(object), SET_PART_ROWS, SET_PART_BYTES)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -242,27 +311,30 @@ def near_duplicates(
     Documents link when their fingerprints differ in at most ``max_bits`` bits;
     ``component_id`` is the smallest id that links reach, itself included. With
     ``similarity``, documents whose sets of shingles have that Jaccard
-    similarity link as well, which few bits of a fingerprint can't tell; it is
-    estimated from min-hash sketches, see ``sketch``. Equal fingerprints meet in an aggregation before anything else, so copies
-    never form pairs. Null and blank texts have fingerprint zero and link like
+    similarity link as well, which few bits of a fingerprint can't tell: min-hash
+    sketches pick likely pairs, see ``sketch``, and the sets decide. ``docs`` is
+    read twice then. Equal fingerprints meet in an aggregation before anything
+    else, so copies never form pairs. Null and blank texts have fingerprint zero and link like
     any other. A null id counts as no id: such a row keeps its group's
     component, which is null if the group has no id at all. Repeated rows give
     repeated rows, an empty table gives none, and other columns are not used.
     """
     text = column(docs, text_col)
     marked = docs.select(column(docs, id_col).cast("long").alias("id"), fingerprint(text, shingle_words).alias("fp"), text.alias("text"))
-    # a fingerprint, or a sketch, is its own node, so that documents without an id link others too
+    # a fingerprint, or one with a set of shingles, is its own node, so that documents without an id link others too
     if similarity is None:
         marked = settled(marked.select("id", "fp", F.col("fp").alias("node")))
         links = close_links(marked.select(F.col("fp").alias("id"), "fp").distinct(), max_bits, equal_blocks)
     else:
-        sketched = marked.withColumn("s", sketch(F.col("text"), shingle_words)).select("id", "fp", "s.sketch", "s.bands")
-        marked = settled(sketched.withColumn("node", F.xxhash64("fp", "sketch")))
-        nodes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "bands")]).withColumnRenamed("node", "id")
+        texts = marked.select(F.xxhash64("text").alias("text_key"), "text")
+        sketched = marked.withColumn("s", sketch(F.col("text"), shingle_words))
+        sketched = sketched.select("id", "fp", "s.sketch", "s.bands", F.xxhash64("fp", "s.digest").alias("node"), F.xxhash64("text").alias("text_key"))
+        marked = settled(sketched)
+        nodes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "bands", "text_key")]).withColumnRenamed("node", "id")
         nodes = settled(nodes)
         prints = nodes.groupBy("fp").agg(F.min("id").alias("id"))
         equal = nodes.select("id", "fp").join(prints.withColumnRenamed("id", "b"), "fp").where("id <> b").select(F.col("id").alias("a"), "b")
-        links = close_links(prints, max_bits, equal_blocks).unionByName(equal).unionByName(similar_links(nodes, similarity))
+        links = close_links(prints, max_bits, equal_blocks).unionByName(equal).unionByName(similar_links(nodes, texts, shingle_words, similarity))
     found = components(links)
     least = marked.groupBy("node").agg(F.min("id").alias("least"))
     placed = least.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -108,6 +108,40 @@ def test_similar_texts_link(spark, docs, empty, monkeypatch):
     assert simhash.near_duplicates(empty, similarity=0.8).count() == 0
 
 
+def test_similar_texts_are_those_of_the_exact_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_PART_ROWS", 6)
+    rng = random.Random(9)
+    texts, want = [], []
+    for g in range(120):
+        common, own = (41, 9) if g % 2 else (39, 11)  # of 50 single words, common ones once each: 0.82 or 0.78
+        words = [f"g{g}w{i}" for i in range(50)]
+        # the second text lacks ``own`` words: common / 50 is the similarity
+        texts += [" ".join(words), " ".join(rng.sample(words[:common], common))]
+        want += [2 * g, 2 * g if own == 9 else 2 * g + 1]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, shingle_words=1, max_bits=0, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    # a block larger than a part, all of one base and none of them similar enough, but for one pair
+    base = [f"b{i}" for i in range(90)]
+    many = [" ".join(base + [f"own{k}x{i}" for i in range(12)]) for k in range(40)]  # 90 of 114: 0.789
+    many.append(many[0].rsplit(" ", 1)[0])
+    frame = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, shingle_words=1, max_bits=0, similarity=0.8).collect()}
+    sets = [set(t.split()) for t in many]
+    label = list(range(41))
+    for i, j in itertools.combinations(range(41), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            label = [label[i] if x == label[j] else x for x in label]
+    assert [got[i] for i in range(41)] == label and label[40] == 0 and len(set(label)) == 40
+
+
+def test_kept_bytes_of_long_texts_do_not_agree_by_chance():
+    rng = np.random.default_rng(3)
+    least = rng.integers(0, 4_000, (2, 512), dtype=np.uint32)  # minima of about two million hashes
+    a, b = simhash._kept_byte(least[0]), simhash._kept_byte(least[1])
+    assert (a == b).mean() < 0.03
+
+
 def test_line_dedup(docs, empty):
     out = lines.dedup_lines(docs, max_ratio=0.2, min_pages=3)
     rows, pages = docs.collect(), {}
