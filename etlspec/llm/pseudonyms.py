@@ -19,6 +19,8 @@ PATTERNS = {
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every match of every kind holds one of these.
+MARKS = "[0-9@=:]|AKIA|ASIA"
 #: Days of the calendar's cycle of 400 years, a product of two numbers, and the day number of 1800-01-01.
 CYCLE, LEFT, RIGHT, FIRST_DAY = 146_097, 189, 773, -62_091
 #: Characters that one permutation covers; longer values are permuted piece by piece.
@@ -218,7 +220,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col
         return done
 
     found = fresh(docs, "found")[0]
-    likely = text.rlike("[0-9@]")
+    likely = text.rlike(MARKS)
     matches = F.when(likely, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replace))
     out = docs.withColumn(found, matches)
     news = F.transform(F.col(found), lambda x: x["new"])
