@@ -174,10 +174,35 @@ def _of(kind: str, value: Column, key: str) -> Column:
         head, rest = _split_head(value, r"^\+\d{1,3}(?=[ .(-])")
         count = F.length(alnum(value))
         return F.when(count.between(8, 15), F.concat(head, _laid_out(rest, _letters(key, kind, alnum(rest), leading=True))))
-    digits = alnum(value)
+    return _let(_card_run(value), lambda run: F.when(run.isNotNull(), _card(value, run["start"], run["end"], key)))
+
+
+def _card_run(value: Column) -> Column:
+    """Where the card number in a run of digit groups is: the first start, and the longest run from there, that pass the Luhn test; null if none."""
+    size = F.length(value)
+
+    def valid(start: Column, end: Column) -> Column:
+        digits = F.regexp_replace(F.substring(value, start, end - start + 1), "[^0-9]", "")
+        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        return F.length(digits).between(13, 19) & (_check_digit(body) == F.substring(digits, -1, 1))
+
+    run = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    sign = lambda at: F.substring(value, at, F.lit(1)).isin(" ", "-")
+    places = F.sequence(F.lit(1), size)
+    starts = F.filter(places, lambda i: (i == 1) | sign(i - 1))
+    ends = F.reverse(F.filter(places, lambda i: (i == size) | sign(i + 1)))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: j > i), lambda j: run(i, j))))
+    shorter = F.get(F.filter(runs, lambda r: valid(r["start"], r["end"])), F.lit(0))
+    return F.when(valid(F.lit(1), size), run(F.lit(1), size)).otherwise(shorter)
+
+
+def _card(value: Column, start: Column, end: Column, key: str) -> Column:
+    """``value`` with the card number from ``start`` to ``end`` replaced."""
+    number = F.substring(value, start, end - start + 1)
+    digits = F.regexp_replace(number, "[^0-9]", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = _let(_letters(key, kind, body), lambda b: F.concat(b, _check_digit(b)))
-    return F.when(_check_digit(body) == F.substring(digits, -1, 1), _laid_out(value, new))
+    new = _let(_letters(key, "card", body), lambda b: F.concat(b, _check_digit(b)))
+    return F.concat(F.substring(value, F.lit(1), start - 1), _laid_out(number, new), F.substring(value, end + 1, F.length(value)))
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col: str = "pii") -> DataFrame:
@@ -186,8 +211,9 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col
     Kinds: e-mail addresses (the part before the @), access keys, secrets after
     ``password=`` and the like, IPv4 addresses, dates, US social security
     numbers, phone numbers and card numbers. Numbers and dates are validated
-    (Luhn test, octets, calendar, number ranges); what fails stays as it is. A
-    valid value becomes another valid value of its kind by a keyed permutation
+    (Luhn test, octets, calendar, number ranges); what fails stays as it is. Of
+    a run of 13 to 19 digits in groups that fails, the runs of whole groups in
+    it are tried, so a card next to a short number is found. A valid value becomes another valid value of its kind by a keyed permutation
     of that format's values, so equal values stay equal in all documents,
     different ones stay different, and separators stay in place. Values of more
     than ``PIECE`` characters are permuted piece by piece. A permutation may

@@ -362,6 +362,22 @@ def test_secrets_of_letters_alone_are_replaced_in_texts_without_a_digit(spark):
         assert out[2 * i].text + " 7" == out[2 * i + 1].text and out[2 * i].pii == out[2 * i + 1].pii
 
 
+def test_cards_next_to_short_numbers_are_replaced(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"]
+    around = [("", ""), ("", " 123"), ("", " 12/26"), ("", " 1 2"), ("12 ", ""), ("7 ", " 12")]
+    near = [(c, a, b) for c in cards for a, b in around]
+    none = ["4111111111111112 123", "4111 1111 1111 1112 12", "1234567 12345 67"]
+    assert not any(_luhn(re.sub(r"\D", "", a + cards[0] + b.split("/")[0])) for a, b in around[1:])
+    frame = spark.createDataFrame(list(enumerate([f"pay {a}{c}{b} now" for c, a, b in near] + none)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(frame, "k").collect()}
+    alone = re.sub(r"\D", "", out[0].text)
+    assert _luhn(alone) and alone != cards[0] and len(alone) == 16
+    for i, (c, a, b) in enumerate(near):
+        digits = iter(alone)
+        assert out[i].text == f"pay {a}{re.sub('[0-9]', lambda _: next(digits), c)}{b} now" and out[i].pii == {"card": 1}
+    assert [out[len(near) + i].text for i in range(3)] == none
+
+
 def test_a_permutation_meets_every_value_once(spark):
     from pyspark.sql import functions as F
 
