@@ -18,6 +18,8 @@ BITS = 17
 BLOCK_CHARS = 1 << 20
 #: Languages that a model may have: its table is sent to every executor.
 MAX_LANGUAGES = 200
+#: Documents that a language may have in the sample, whatever its share.
+LEAST_ROWS = 50
 #: First code points of script ranges and the script each starts; 0 is any other.
 RANGES = (
     (0x0000, 0), (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0),
@@ -174,21 +176,26 @@ def fit(
 ) -> Model:
     """Learn n-gram frequencies of each language from documents outside the held-out fifth.
 
-    About ``sample_rows`` documents with a language are used, chosen by a hash
-    of their id where there are more. They are counted in parallel and added up
-    by Spark; the table of counts, languages times 2^17 at most, is what comes
+    Each language has an equal share of ``sample_rows``, ``LEAST_ROWS`` at
+    least: all its documents are used if they are no more than that, else about
+    so many, chosen by a hash of their id; so no language is lost in a large
+    table. They are counted in parallel and added up by Spark; the table of counts, languages times 2^17 at most, is what comes
     to the driver. A language uses a script if it writes a hundredth of its
     words in it. ``penalty`` is the cost of a change of language, in nats.
     """
     usable = docs.where(column(docs, lang_col).isNotNull() & column(docs, id_col).isNotNull()).where(~held_out(column(docs, id_col)))
-    total = usable.count()
-    if total > sample_rows:
-        usable = usable.where(F.pmod(F.xxhash64(column(docs, id_col), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
+    lang, ids = column(docs, lang_col), column(docs, id_col)
+    sizes = usable.groupBy(lang.cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"there are more than {MAX_LANGUAGES} languages")
+    share = max(LEAST_ROWS, sample_rows // max(1, len(sizes)))
+    cuts = [F.lit(x) for r in sizes if r["n"] > share for x in (r["lang"], int((1 << 30) * share / r["n"]))]
+    if cuts:
+        below = F.coalesce(F.create_map(*cuts)[lang.cast("string")], F.lit(1 << 30))
+        usable = usable.where(F.pmod(F.xxhash64(ids, F.lit("sample")), F.lit(1 << 30)) < below)
     texts = usable.select(column(docs, lang_col).alias("lang"), column(docs, text_col).alias("text")).repartition(8)
     counts = texts.mapInArrow(_counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages are more than {MAX_LANGUAGES}")
     table = np.zeros(((1 << BITS) + SCRIPTS, max(1, len(languages))))
     table[counts["key"].to_numpy(np.int64), counts["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(np.int64)] = counts["n"].to_numpy()
     grams, scripts = table[: 1 << BITS] + 0.5, table[1 << BITS :]

@@ -272,6 +272,17 @@ def test_language_id(spark):
     assert langid.identify(tests.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_learned_from_a_large_table(spark):
+    from pyspark.sql import functions as F
+
+    common = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("hello world house table").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(100_000 + i, "maison bonjour chaise", "fr") for i in range(8)], "doc_id long, text string, lang string")
+    model = langid.fit(common.unionByName(rare), sample_rows=200)
+    assert model.languages == ["en", "fr"]
+    tests = spark.createDataFrame([(1, "bonjour maison")], "doc_id long, text string")
+    assert langid.identify(tests, model).first().language.lang == "fr"
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choices(WORDS, k=30)) + "."
