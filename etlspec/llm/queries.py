@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etlspec.llm import chat, decontaminate, langid, lines, packing, pseudonyms, quality, sharding, simhash, topk
+from etlspec.llm import chat, decontaminate, langid, licenses, lines, packing, pseudonyms, quality, sharding, simhash, topk
 from etlspec.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(whole("loss"), 256).alias("loss_sha256"),
         total("n_chars").alias("formatted_chars"),
     )
+
+
+@query("op11_license_scan", licenses.scan_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["places"].isNotNull())
+    places = F.flatten(F.transform(base, lambda m: m["places"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(licenses.labels(base), ",").alias("base_labels"),
+        F.array_join(licenses.labels("matches"), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score"),
+    )
