@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame, written once as Parquet in shared storage and read from there."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames that nothing will read again."""
+    for df in frames:
+        paths = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+        for path in paths:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etlspec.llm import chat, decontaminate, langid, licenses, lines, packing, pseudonyms, quality, sharding, simhash, topk
-from etlspec.llm.common import held_out
+from etlspec.llm import chat, decontaminate, langid, licenses, lines, manifest, packing, pseudonyms, quality, sharding, simhash, topk
+from etlspec.llm.common import ascii_lower, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +180,21 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(licenses.labels("matches"), ",").alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query("op12_merkle_manifest", manifest.manifest_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(changed, manifest.leaf_digest(*told, ascii_lower(F.col("text"))))
+    leaves = docs.select("doc_id", "source", manifest.leaf_digest(*told, F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    tree = manifest.manifest(leaves, keep=["tampered"])
+    return tree.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        manifest.proof_digest("proof").alias("proof_sha256"),
+        manifest.fold(F.coalesce("tampered", "leaf"), "proof").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
