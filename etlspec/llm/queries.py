@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etlspec.llm import chat, decontaminate, langid, licenses, lines, manifest, packing, pseudonyms, quality, sharding, simhash, topk
+from etlspec.llm import (
+    chat,
+    clustering,
+    decontaminate,
+    langid,
+    licenses,
+    lines,
+    manifest,
+    packing,
+    pseudonyms,
+    quality,
+    sharding,
+    simhash,
+    topk,
+)
 from etlspec.llm.common import ascii_lower, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +213,18 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         manifest.proof_digest("proof").alias("proof_sha256"),
         manifest.fold(F.coalesce("tampered", "leaf"), "proof").alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_centroid_clustering", clustering.cluster_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    each = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    of = lambda values, kind: F.get(F.array(*map(F.lit, values)), F.col("cluster")).cast(kind)
+    return found.assigned.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        of(found.inertia, "long").alias("cluster_inertia"),
+        F.lit(sum(found.inertia)).cast("long").alias("inertia"),
+        of(each, "string").alias("centroid_sha256"),
+    )
