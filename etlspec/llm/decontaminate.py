@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from etlspec.llm.common import ascii_lower, column, fresh, settled
 
-#: A run of digits, letters a-z, and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A run of digits, letters a-z, and anything beyond ASCII; Java matches a class of what belongs to it several times as fast as its negation.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: The same before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Bytes of windows sent to every executor at once; more are looked up in several passes.
 BROADCAST_BYTES = 64 << 20
 

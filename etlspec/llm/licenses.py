@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from etlspec.llm.common import column
-from etlspec.llm.decontaminate import WORD, words
+from etlspec.llm.decontaminate import words
 
 # Wordings of public license notices, by label.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -52,8 +52,7 @@ _MATCH = "struct<label:string,template:string,start:int,end:int,containment:doub
 
 def template_words(text: str) -> list[str]:
     """The words of a template, as ``decontaminate.words`` finds them in a document."""
-    lower = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
-    return re.findall(WORD, lower)
+    return re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
 def step(notices: Mapping[str, Sequence[str]], phrases: Mapping[str, Sequence[str]]) -> int:
@@ -114,8 +113,9 @@ def scan(
     stride = step(notices, phrases)
     text = column(docs, text_col)
     vocabulary = sorted({w for t in templates for w in t[2]})
-    met = docs.select(F.explode(F.array_intersect(_strings(vocabulary), words(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    seen = {r["word"]: r["n"] for r in met.collect()} if templates else {}  # a row for each template word, at most
+    # the outer form keeps the optimizer from testing the array for emptiness on a second copy of it
+    met = docs.select(F.explode_outer(F.array_intersect(_strings(vocabulary), words(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    seen = {r["word"]: r["n"] for r in met.collect()} if templates else {}  # a row for each template word, and one null
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
 
@@ -192,9 +192,8 @@ def scan_sql(notices: Mapping[str, Sequence[str]] = NOTICES, phrases: Mapping[st
     listed = lambda named: ", ".join(
         f"({value(label)}, [{', '.join(map(value, template_words(t)))}])" for label, some in named.items() for t in some
     )
-    word = WORD.replace("'", "''")
     return f"""
-    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
     notices(label, t) AS (VALUES {listed(notices)}),
     phrases(label, t) AS (VALUES {listed(phrases)}),
     blocks AS (SELECT doc_id, w[b + 1 : b + {2 * stride}] AS x FROM (SELECT doc_id, w, unnest(range(0, len(w), {stride})) AS b FROM d)),
