@@ -207,19 +207,60 @@ def test_packing(docs, empty):
     assert packing.pack(empty, data).count() == 0
 
 
-def test_forgotten_words_keep_their_ids(monkeypatch):
+def test_word_encoder(monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 4000)
     data = word_tokenizer()
     encode, tokenizer = packing.WordEncoder(data), Tokenizer.from_buffer(data)
     rng = random.Random(7)
-    pool = WORDS + [w + sign for w in WORDS for sign in (",", ".", "!?")] + [f"new{i}," for i in range(60)] + ["ÀÉ.", "<|x|>", "--"]
-    for _ in range(40):
-        texts = [" ".join(rng.choices(pool, k=rng.randrange(12))) for _ in range(4)]
-        got = [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])]
-        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(encode.known) + len(encode.older) < len(pool) * 2
+    pool = WORDS + [w + sign for w in WORDS for sign in (",", ".", "!?")] + [f"new{i}," for i in range(60)] + ["ÀÉ.", "<|x|>", "--", "Straße", "öß.", "naïve", "it's", "a\x1cb"]
+    pool += ["a<|endoftext|>B", "<|EndOfText|>", "e\u0301", "x\u00a0y", "ÿÿ", "we'll?"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(rng.randrange(12))) for _ in range(4)]
+        ids, ends = encode(pa.array([*texts, None]))
+        got = [x.tolist() for x in np.split(ids, ends)][:5]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+    assert encode.letters and len(encode.known) < len(pool) * 2
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file, pytest.raises(ValueError):
+        packing.WordEncoder(file.read())(pa.array(["a"]))
+
+
+def test_long_texts_are_encoded_in_parts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TEXT_BYTES", 50)
+    texts = ["short", None, LONG[:3000], "", "x" * 200, " ".join(WORDS), "two words"]
+    data = word_tokenizer()
+    encode, tokenizer, got = packing.WordEncoder(data), Tokenizer.from_buffer(data), {}
+    held = []
+    for rows, part, last in packing._stretches(pa.array(texts)):
+        ids, ends = encode(part)
+        assert last or pa.compute.max(pa.compute.binary_length(part)).as_py() <= 260
+        if not last:
+            held += ids.tolist()
+        for row, some in zip(rows, np.split(ids, ends)):
+            got[row], held = held + some.tolist(), []
+    assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_too_many_open_windows(monkeypatch):
+    monkeypatch.setattr(packing, "OPEN_WINDOWS", 3)
+    closed, rng = [], random.Random(8)
+    packer = packing.SumOfSquares(100, closed.append)
+    sizes = [rng.randrange(55, 100) for _ in range(200)]
+    for doc, size in enumerate(sizes):
+        packer.add(doc, 0, np.arange(size, dtype="<u4").tobytes())
+        assert packer.n_open <= 3 and packer.n_open == packer.level.sum()
+    packer.finish()
+    fills = [sum(len(ids) // 4 for _, _, ids in w) for w in closed]
+    assert sum(f < 100 for f in fills) <= 1 and sum(fills) == sum(sizes)
+    pieces = sorted((doc, start, np.frombuffer(ids, "<u4").tolist()) for w in closed for doc, start, ids in w)
+    assert [x for _, _, ids in pieces for x in ids] == [x for size in sizes for x in range(size)]
 
 
 def test_sum_of_squares_rule():
