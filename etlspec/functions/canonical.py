@@ -1,10 +1,12 @@
 """A canonical text form of columns, and fingerprints made from it.
 
-Timestamps are counted in microseconds, so the text loses no digit and does not
-depend on the session's time zone.
+Each value is written by its type, at every depth and in map keys too. Instants
+are counted in microseconds, or written in UTC where a person reads them, so the
+text loses no digit and does not depend on the session's time zone.
 
 Equal values give equal text whatever the order in which map entries or
-columns are written; array order counts, except for columns declared as sets.
+columns are written, and whichever zero a float holds; array order counts, except
+for columns declared as sets.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Types whose values are rewritten before they become text.
+_REWRITTEN = (T.TimestampType, T.TimestampNTZType, T.DoubleType, T.FloatType)
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -42,11 +46,12 @@ def normal_form(column: Column, dtype: T.DataType) -> Column:
             entries = F.transform(
                 F.map_entries(column),
                 lambda e: F.struct(
-                    e.getField("key").alias("key"), normal_form(e.getField("value"), dtype.valueType).alias("value")
+                    normal_form(e.getField("key"), dtype.keyType).alias("key"),
+                    normal_form(e.getField("value"), dtype.valueType).alias("value"),
                 ),
             )
             return F.array_sort(entries, _by_key)
-        case T.ArrayType() if _nested(dtype.elementType) or _is_time(dtype.elementType):
+        case T.ArrayType() if _nested(dtype.elementType) or isinstance(dtype.elementType, _REWRITTEN):
             return F.transform(column, lambda x: normal_form(x, dtype.elementType))
         case T.StructType():
             parts = [
@@ -60,11 +65,13 @@ def normal_form(column: Column, dtype: T.DataType) -> Column:
             return F.unix_micros(column)
         case T.TimestampNTZType():
             return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column)
+        case T.DoubleType() | T.FloatType():
+            return _one_zero(column, dtype)
     return column
 
 
-def _is_time(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+def _one_zero(column: Column, dtype: T.DataType) -> Column:
+    return column + F.lit(0).cast(dtype)
 
 
 def _by_key(a: Column, b: Column) -> Column:
@@ -100,8 +107,14 @@ def value_text(column: Column, dtype: T.DataType) -> Column:
     """One value as text; null stays null."""
     if _nested(dtype):
         return F.to_json(normal_form(column, dtype), _KEEP_NULLS)
-    if isinstance(dtype, T.BinaryType):
-        return F.base64(column)
+    match dtype:
+        case T.BinaryType():
+            return F.base64(column)
+        case T.TimestampType():
+            utc = F.timestamp_add("MICROSECOND", F.unix_micros(column), F.lit("1970-01-01").cast("timestamp_ntz"))
+            return F.concat(utc.cast("string"), F.lit("Z"))
+        case T.DoubleType() | T.FloatType():
+            return _one_zero(column, dtype).cast("string")
     return column.cast("string")
 
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from etlspec.functions.canonical import quoted
-from etlspec.operators.sizes import SPLIT_ROWS, large_groups
-
+from etlspec.operators.sizes import SPLIT_ROWS, any_large
 
 
 def join(
@@ -29,23 +28,19 @@ def join(
     but only of the preserved side of a left or right join, and none in a full
     outer join. Where that leaves a side with a key of more than ``split_rows``
     rows to one task, the join is planned as an inner join and the rows without
-    a match, which can both be split. Finding out takes a pass over that
-    side's keys; ``split_rows=None`` leaves it out.
+    a match, which can both be split, as semi and anti joins can. Finding out
+    takes one job that sketches the keys of the sides in question;
+    ``split_rows=None`` leaves it out.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how in ("left_semi", "left_anti"):
-        return left.join(_distinct_keys(right, keys), keys, how)
+        return left.join(distinct_keys(right, keys), keys, how)
     right = _without_clashes(left, right, keys, suffix)
-
-    def frequent(side: DataFrame) -> bool:
-        return split_rows is not None and bool(large_groups(side, keys, split_rows, most=1)[0])
-
-    if how == "left" and frequent(right.dropna(subset=keys)):
-        return _outer(left, right, keys, left_rows=True)
-    if how == "right" and frequent(left.dropna(subset=keys)):
-        return _outer(left, right, keys, right_rows=True)
-    if how == "outer" and (frequent(left) or frequent(right)):
-        return _outer(left, right, keys, left_rows=True, right_rows=True)
+    asked = {"left": [right], "right": [left], "outer": [left, right]}.get(how, [])
+    # null keys match nothing, so they only crowd a task where their rows are kept
+    asked = [(side if how == "outer" else side.dropna(subset=keys), keys) for side in asked]
+    if asked and split_rows is not None and any_large(asked, split_rows):
+        return _outer(left, right, keys, left_rows=how != "right", right_rows=how != "left")
     return left.join(right, keys, how)
 
 
@@ -56,18 +51,22 @@ def _outer(
     result = left.join(right, keys, "inner")
     for wanted, side, other in ((left_rows, left, right), (right_rows, right, left)):
         if wanted:
-            alone = side.join(_distinct_keys(other, keys), keys, "left_anti")
+            alone = side.join(distinct_keys(other, keys), keys, "left_anti")
             result = result.unionByName(alone, allowMissingColumns=True)
     return result
 
 
-def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once: repeated ones are dropped before they are shuffled.
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key once, for the right side of a semi or anti join.
 
-    The distinct keys are dealt out again, because adaptive execution splits a
-    frequent key only where the join itself reads both shuffles.
+    Repeated keys are dropped before they are shuffled, and what is left is dealt
+    out round-robin. That leaves the frame without a partitioning by key, so the
+    join adds a shuffle of its own on both sides; only then does adaptive
+    execution split a key that is frequent on the left. A partitioning by key
+    would be taken over from the aggregate, and nothing would be split.
     """
-    return df.select(*map(quoted, keys)).distinct().repartition(*map(quoted, keys))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*map(quoted, keys)).distinct().repartition(width)
 
 
 def _without_clashes(left: DataFrame, right: DataFrame, keys: list[str], suffix: str | None) -> DataFrame:

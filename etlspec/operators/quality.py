@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from etlspec.functions.canonical import canonical_json, quoted
 from etlspec.functions.columns import compile_column
+from etlspec.operators.joins import distinct_keys
 
 Types = Mapping[str, T.DataType]
 
@@ -182,11 +183,10 @@ def find_orphans(
     """Rows whose reference is not a known key, with its column and text under ``field_name`` and ``value_name``.
 
     A null reference is fine. Known keys are made distinct before they are
-    shuffled, so repeated ones cost nothing; then they are dealt out again, so
-    that the join reads both shuffles itself and a frequent reference is split.
+    shuffled, so repeated ones cost nothing, and a frequent reference can be split.
     """
     _refuse(df.columns, [field_name, value_name])
-    keys = known.select(quoted(key_col).alias("__known")).distinct().repartition("__known")
+    keys = distinct_keys(known.select(quoted(key_col).alias("__known")), ["__known"])
     rows = df.filter(quoted(ref_col).isNotNull())
     return rows.join(keys, quoted(ref_col) == F.col("__known"), "left_anti").select(
         "*", F.lit(ref_col).alias(field_name), quoted(ref_col).cast("string").alias(value_name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from etlspec.functions.canonical import quoted, value_text
+from etlspec.operators.joins import distinct_keys
 
 
 def snapshot_diff(
@@ -23,8 +24,8 @@ def snapshot_diff(
     """Rows to create, delete or modify to turn ``current`` into ``desired``.
 
     Returns the keys, ``change_type`` (Create, Delete, Modify), ``changes``
-    (for Modify: field -> {old, new} as text, in name order), ``old_hash`` and
-    ``new_hash``. Equal rows are left out. A column one side lacks counts as
+    (for Modify: field -> {old, new} as text, null for null, in name order),
+    ``old_hash`` and ``new_hash``. None of them depends on the session's time zone. Equal rows are left out. A column one side lacks counts as
     null there, null keys are equal to each other, and a key that appears twice
     on one side is an error raised while the job runs.
 
@@ -104,7 +105,7 @@ def _changes(names: Sequence[str]) -> Column:
         F.col("__after"),
         lambda old, new: F.when(
             ~old.eqNullSafe(new),
-            F.struct(F.coalesce(old, F.lit("null")).alias("old"), F.coalesce(new, F.lit("null")).alias("new")),
+            F.struct(old.alias("old"), new.alias("new")),
         ),
     )
     every = F.map_from_arrays(F.array(*map(F.lit, names)), pairs)
@@ -178,11 +179,8 @@ def scope_subtree(df: DataFrame, path_col: str, prefix: str) -> DataFrame:
 
 
 def scope_to(other: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of ``other`` whose keys appear in ``df``.
-
-    The distinct keys are dealt out again, so that a frequent key is split.
-    """
-    return other.join(df.select(*map(quoted, keys)).distinct().repartition(*map(quoted, keys)), list(keys), "left_semi")
+    """The rows of ``other`` whose keys appear in ``df``; a key that is frequent in ``other`` can be split."""
+    return other.join(distinct_keys(df, keys), list(keys), "left_semi")
 
 
 def existence(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

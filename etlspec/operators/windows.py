@@ -8,26 +8,28 @@ so three cases are planned differently:
 * in an ordered window, the rows of groups that are too large for one task (a
   frequent key, or the one group of a window without ``partition_by``) are cut
   into slices along their sort order. The function runs inside each slice, and
-  subtotals of the earlier slices complete it. All other rows run the plain way;
-* a function that subtotals cannot complete runs the plain way, with a warning
+  totals of the earlier slices complete it. All other rows run the plain way;
+* a function that totals cannot complete runs the plain way, with a warning
   when a group is that large.
 
 Which groups are large, and where they are cut, is read when the transform is
 planned and constant in the plan, so a repeated task sees the same slices. A
 group counts as large above ``split_rows`` rows or above 1/MAX_LARGE of all rows,
-whichever is more: fewer than MAX_LARGE groups or slices can be large, which
-bounds what reaches the driver and what is broadcast.
+whichever is more: fewer than MAX_LARGE groups can be large, and there are at most
+2 * MAX_LARGE cuts, which bounds what reaches the driver and what is broadcast.
 """
 
 from __future__ import annotations
 
 import logging
-import math
-import os
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +40,12 @@ from etlspec.plans.spec import Order
 
 _log = logging.getLogger(__name__)
 
-# A large group is cut at up to 63 places at a time (6 comparisons find the slice
-# of a row), slices that are still large again, up to ROUNDS times per column.
+# 6 comparisons find a row's place among up to 63 cuts, each leaf of which may hold 63 more.
 STEPS = (32, 16, 8, 4, 2, 1)
-CUTS = sum(STEPS)
-ROUNDS = 4
+FANOUT = 2 * STEPS[0]
+# Rows sampled for each slice, and the bytes of all cuts together; longer ones are thinned out.
+SAMPLED = 32
+CUT_BYTES = 64 << 20
 
 # Functions Spark refuses to run without an ordering.
 NEED_ORDER = (
@@ -55,7 +58,15 @@ NEED_ORDER = (
     "lag",
     "lead",
 )
-RUNNING = ("count", "sum", "min", "max", "avg")
+# Functions of one argument that totals of earlier slices complete, and what each of them stands for.
+RUNNING = {
+    "count": "count", "count_if": "count", "sum": "sum", "avg": "avg", "mean": "avg",
+    "min": "min", "bool_and": "min", "every": "min", "max": "max", "bool_or": "max", "any": "max", "some": "max",
+}
+SPREAD = {
+    "stddev": "samp", "stddev_samp": "samp", "std": "samp", "variance": "samp", "var_samp": "samp",
+    "stddev_pop": "pop", "var_pop": "pop",
+}
 
 _CALL = re.compile(r"\s*([A-Za-z_]\w*)\s*\((.*)\)\s*", re.DOTALL)
 
@@ -70,8 +81,8 @@ def add_window(
 ) -> DataFrame:
     """Add ``name`` = ``expression`` over the window, replacing a column of that name.
 
-    With an ordering, the group sizes are counted first (one pass over the key
-    columns). ``split_rows=None`` leaves that out and always runs plainly.
+    With an ordering, a sketch of frequent keys is taken first (one pass over the
+    key columns). ``split_rows=None`` leaves that out and always runs plainly.
     """
     call = parse_call(expression)
     if not order_by:
@@ -81,18 +92,18 @@ def add_window(
 
     window = Window.partitionBy(*map(quoted, partition_by)).orderBy(*_ordering(order_by))
     plain = df.withColumn(name, F.expr(expression).over(window))
-    groups, limit = large_groups(df, partition_by, split_rows) if split_rows is not None else ([], 0)
+    groups, limit = large_groups(df, partition_by, split_rows) if split_rows is not None else (None, 0)
     if not groups:
         return plain
     result_type = plain.schema[name].dataType
-    if not _can_complete(call, result_type):
+    if not _can_complete(call):
         _log.warning('window "%s": %d groups are large, and %s takes one task for each', name, len(groups), expression)
         return plain
 
     large = _keyed(df, partition_by, groups)
     same = _all([quoted(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(partition_by)] or [F.lit(True)])
     hot = df.join(F.broadcast(large), same) if partition_by else df.withColumn("__group", F.lit(0))
-    done = _Slices(df, hot, order_by, limit).compute(name, call, result_type)
+    done = _Slices(df, hot, order_by, limit, f'window "{name}"').compute(name, call, result_type)
     if not partition_by:
         return done
     rest = df.join(F.broadcast(large), same, "left_anti")
@@ -138,7 +149,7 @@ def _top_level_args(text: str) -> tuple[str, ...] | None:
     return tuple(parts + [last]) if last else tuple(parts)
 
 
-def _can_complete(call: Call | None, result_type: T.DataType) -> bool:
+def _can_complete(call: Call | None) -> bool:
     if call is None:
         return False
     if call.function in ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist"):
@@ -147,10 +158,8 @@ def _can_complete(call: Call | None, result_type: T.DataType) -> bool:
         return len(call.args) == 1 and call.args[0].isdigit()
     if call.function in ("lag", "lead"):
         return 1 <= len(call.args) <= 3 and (len(call.args) == 1 or call.args[1].isdigit())
-    if call.function == "avg" and isinstance(result_type, T.DecimalType):
-        return False
     one = len(call.args) == 1 and not call.args[0].lower().startswith("distinct ")
-    return call.function in RUNNING and one
+    return one and (call.function in RUNNING or call.function in SPREAD)
 
 
 def _ordering(order_by: Sequence[Order], reverse: bool = False) -> list[Column]:
@@ -182,164 +191,146 @@ def _all(conditions: list[Column]) -> Column:
 # Large groups
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], groups: list) -> DataFrame:
+def _keyed(df: DataFrame, keys: Sequence[str], groups: pa.Table) -> DataFrame:
     """The large groups as a frame: their keys and a number for each."""
     types = df.select(*map(quoted, keys)).schema.fields
     schema = T.StructType(
         [*[T.StructField(f"__key{i}", f.dataType) for i, f in enumerate(types)], T.StructField("__group", T.IntegerType())]
     )
-    rows = [(*[g[f"__key{i}"] for i in range(len(keys))], number) for number, g in enumerate(groups)]
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def sort_position(column: Column, dtype: T.DataType, skip: Column | int = 0) -> Column | None:
-    """A double that never decreases as the column's sort order goes up.
-
-    Distinct values may share a position. For strings the six bytes after the
-    first ``skip`` count; all values must agree on the skipped ones. None when
-    the type has no such form.
-    """
-    match dtype:
-        case T.BooleanType():
-            return column.cast("int").cast("double")
-        case T.NumericType():
-            return column.cast("double")
-        case T.DateType():
-            return F.unix_date(column).cast("double")
-        case T.TimestampType():
-            return F.unix_micros(column).cast("double")
-        case T.TimestampNTZType():
-            day = F.unix_date(column.cast("date")).cast("double") * 86400
-            return day + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-        case T.StringType() if dtype.simpleString() == "string":
-            start = F.lit(skip) + 1 if isinstance(skip, int) else skip + 1
-            head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), start, F.lit(6))), F.lit(12), F.lit("0"))
-            return F.conv(head, 16, 10).cast("double")
-    return None
+    numbered = groups.select([f"__key{i}" for i in range(len(keys))]).append_column("__group", pa.array(range(len(groups)), pa.int32()))
+    return df.sparkSession.createDataFrame(numbered, schema)
 
 
 class _Slices:
     """The rows of large groups, each group cut into slices along the sort order.
 
-    The slice of a row is its *path*: one number per cut. Rows that agree in all
-    order columns have the same path, so a function with peers (rank, running
-    totals) finds all peers in one slice. A slice of nothing but peers may be
-    large, too; its rows are spread by a salt, which row-wise functions treat as
-    a further part of the path (the order of peers is free) and functions with
-    peers do not need, as subtotals alone give their result there.
+    A sample of the rows is sorted by all order columns as Spark sorts them, and
+    every n-th sampled row is a cut; slice 2 k holds the rows after k cuts and
+    before the next one. Values that several cuts share are frequent: the rows
+    equal to such a cut are a slice of their own, 2 k + 1. So rows that agree in
+    all order columns are in one slice, and a function with peers (rank, running
+    totals) finds all peers there. A slice of nothing but peers may be large; its
+    rows are spread by a salt, which row-wise functions treat as a further part
+    of the place (the order of peers is free) and functions with peers do not
+    need, as totals alone give their result there. What cannot be cut further,
+    rows equal in all columns, is told in a warning.
+
+    The cuts are a broadcast search tree with 63 of them to a node, so a row
+    meets one node for each level and never a long list.
     """
 
-    def __init__(self, df: DataFrame, hot: DataFrame, order_by: Sequence[Order], limit: int):
+    def __init__(self, df: DataFrame, hot: DataFrame, order_by: Sequence[Order], limit: int, label: str = "window"):
         self.columns = df.columns
         self.order_by = list(order_by)
-        self.types = [df.select(quoted(o.column)).schema[0].dataType for o in order_by]
         self.limit = limit
+        self.label = label
         self.frame = hot.select(*map(quoted, df.columns), "__group")
-        self.path: list[tuple[str, bool]] = []
-        self._sizes: list | None = None
-        self._refine()
-        if "__salt" not in self.frame.columns:
-            self.frame = self.frame.withColumns({"__salt": F.lit(0), "__flat": F.lit(False)})
+        self._slice()
+        self._salt()
 
-    @property
-    def place(self) -> list[str]:
-        return ["__group", *[name for name, _ in self.path]]
+    place = ["__group", "__slice"]
 
     # -- cutting
 
-    def _refine(self) -> None:
-        for i, dtype in enumerate(self.types):
-            if sort_position(F.lit(None), dtype) is None:
-                break
-            for _ in range(ROUNDS):
-                found = [g for g in self._large() if self._alike(g, i) and not g[f"__same{i}"]]
-                if not found:
-                    break
-                self._cut(found, i)
-        flat = [g for g in self._large() if self._alike(g, len(self.types))]
-        if flat:
-            self._salt(flat)
-
-    @staticmethod
-    def _alike(group, count: int) -> bool:
-        return all(group[f"__same{i}"] for i in range(count))
-
-    def _large(self) -> list:
-        """Slices above the limit, with the ends of each order column."""
-        if self._sizes is None:
-            ends = []
-            for i, o in enumerate(self.order_by):
-                ends += [F.min(quoted(o.column)).alias(f"__low{i}"), F.max(quoted(o.column)).alias(f"__high{i}")]
-                ends.append(F.count(quoted(o.column)).alias(f"__set{i}"))
-            sizes = self.frame.groupBy(*self.place).agg(F.count(F.lit(1)).alias("__rows"), *ends)
-            same = [
-                (
-                    F.col(f"__low{i}").eqNullSafe(F.col(f"__high{i}"))
-                    & F.col(f"__set{i}").isin(F.lit(0), F.col("__rows"))
-                ).alias(f"__same{i}")
-                for i in range(len(self.order_by))
-            ]
-            self._sizes = sizes.filter(F.col("__rows") > self.limit).select("*", *same).collect()
-        return self._sizes
-
-    def _cut(self, groups: list, i: int) -> None:
-        """Cut the given slices along order column ``i`` at its quantiles."""
-        column, dtype, place = quoted(self.order_by[i].column), self.types[i], self.place
-        wanted = self._pinned(groups, {"__skip": [_shared_prefix(g[f"__low{i}"], g[f"__high{i}"]) for g in groups]})
-        inside = self.frame.join(F.broadcast(wanted), place).withColumn(
-            "__position", sort_position(column, dtype, F.col("__skip"))
-        )
-        parts = min(CUTS + 1, max(2, -(-max(g["__rows"] for g in groups) // self.limit)))
-        fractions = [n / parts for n in range(1, parts)]
-        found = (
-            inside.groupBy(*place, "__skip")
-            .agg(F.percentile_approx("__position", fractions, 10_000).alias("__cuts"))
-            .filter(F.col("__cuts").isNotNull())
-            .collect()
-        )
-        # A value met at several quantiles is frequent and gets a slice of its own.
-        cuts = [_padded(sorted(set(g["__cuts"]))) for g in found]
-        frequent = [sorted({c for c in g["__cuts"] if g["__cuts"].count(c) > 1}) for g in found]
-        pinned = self._pinned(
-            found, {"__skip": [g["__skip"] for g in found], "__cuts": cuts, "__frequent": frequent}
-        )
-        position = F.col("__position")
-        below = F.aggregate(  # a binary search for the number of cuts below the position
-            F.array(*map(F.lit, STEPS)),
-            F.lit(0),
-            lambda n, step: n + F.when(F.get("__cuts", n + step - 1) < position, step).otherwise(0),
-        )
-        own = F.array_contains("__frequent", position).cast("int")
-        # Nulls sort first going up and last going down: one slice below all others.
-        number = F.when(F.col("__cuts").isNull(), 0).when(position.isNull(), -1).otherwise(below * 2 + own)
-        number = F.coalesce(number, F.lit(0))  # never null, so a join need not test it again
-        name = f"__cut{len(self.path)}"
-        kept = self.frame.columns
-        self.frame = (
-            self.frame.join(F.broadcast(pinned), place, "left")
-            .withColumn("__position", sort_position(column, dtype, F.coalesce("__skip", F.lit(0))))
-            .select(*map(quoted, kept), number.alias(name))
+    def _cuts(self) -> pa.Table:
+        """(__group, __at, __c0, .., __frequent): the distinct cuts of each group, numbered from 0 in the sort order."""
+        names = [f"__c{i}" for i in range(len(self.order_by))]
+        fraction = min(1.0, 2 * SAMPLED / self.limit)
+        step = max(1, round(self.limit / 2 * fraction))
+        sample = self.frame.sample(fraction, seed=1) if fraction < 1 else self.frame
+        sample = sample.select("__group", *[quoted(o.column).alias(n) for o, n in zip(self.order_by, names)])
+        sort = [F.col(n).desc() if o.desc else F.col(n).asc() for o, n in zip(self.order_by, names)]
+        group = Window.partitionBy("__group")
+        picked = sample.withColumn("__row", F.row_number().over(group.orderBy(*sort))).filter(F.col("__row") % step == 0)
+        value = F.struct(*names)
+        new = ~value.eqNullSafe(F.lag(value).over(group.orderBy("__row")))
+        cuts = picked.select("__group", "__row", *names, new.alias("__new"))
+        cuts = cuts.withColumn("__at", F.sum(F.col("__new").cast("long")).over(group.orderBy("__row")) - 1)
+        cuts = cuts.groupBy("__group", "__at").agg(*[F.first(n).alias(n) for n in names], (F.count(F.lit(1)) > 1).alias("__frequent"))
+        found = cuts.toArrow()
+        found = found.take(pc.sort_indices(found, [("__group", "ascending"), ("__at", "ascending")])).combine_chunks()
+        while found.nbytes > CUT_BYTES and len(found) > 1:
+            _log.warning("%s: the sort keys are long, so slices are twice as large", self.label)
+            found = found.filter(pc.equal(pc.bit_wise_and(found["__at"], 1), 0))
+            halved = pc.shift_right(found["__at"], 1)
+            found = found.set_column(found.schema.get_field_index("__at"), "__at", halved).combine_chunks()
+        return found
+
+    def _slice(self) -> None:
+        cuts, spark = self._cuts(), self.frame.sparkSession
+        kinds = [self.frame.select(quoted(o.column)).schema[0].dataType for o in self.order_by]
+        cut_type = T.StructType([T.StructField(f"__c{i}", kind) for i, kind in enumerate(kinds)])
+        values = pa.StructArray.from_arrays(
+            [cuts[f.name].combine_chunks() if isinstance(cuts[f.name], pa.ChunkedArray) else cuts[f.name] for f in cut_type], names=cut_type.names
         )
-        self.path.append((name, self.order_by[i].desc))
-        self._sizes = None
-
-    def _salt(self, groups: list) -> None:
-        """Spread the rows of slices that hold only peers."""
-        parts = [-(-g["__rows"] // self.limit) for g in groups]
-        pinned = self._pinned(groups, {"__salts": parts})
+        group, at = cuts["__group"].to_numpy(), cuts["__at"].to_numpy()
         kept = self.frame.columns
-        hashed = [quoted(f.name) for f in self.frame.schema.fields if not has_map(f.dataType)]
-        salt = F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(*hashed), F.col("__salts"))).otherwise(0)
-        self.frame = self.frame.join(F.broadcast(pinned), self.place, "left").select(
-            *map(quoted, kept), salt.cast("int").alias("__salt"), F.col("__salts").isNotNull().alias("__flat")
+        most = int(at.max()) + 1 if len(at) else 0
+        unit = 1
+        while unit * FANOUT <= most:
+            unit *= FANOUT
+        rows, number = self.frame, F.lit(0).cast("long")
+        node_type = T.StructType(
+            [T.StructField("__g", T.IntegerType()), T.StructField("__node", T.LongType()), T.StructField("__cuts", T.ArrayType(cut_type))]
         )
-
-    def _pinned(self, groups: list, more: dict[str, list]) -> DataFrame:
-        """A small frame of constants: the places of ``groups`` and values for each."""
-        kinds = {"__skip": "INT", "__cuts": "ARRAY<DOUBLE>", "__frequent": "ARRAY<DOUBLE>", "__salts": "INT"}
-        schema = ", ".join([*[f"{c} INT" for c in self.place], *[f"{c} {kinds[c]}" for c in more]])
-        rows = [(*[g[c] for c in self.place], *[values[n] for values in more.values()]) for n, g in enumerate(groups)]
-        return self.frame.sparkSession.createDataFrame(rows, schema)
+        while most and unit:
+            mine = np.flatnonzero(((at + 1) % unit == 0) & ((at + 1) % (unit * FANOUT) != 0))
+            node = (at[mine] + 1) // (unit * FANOUT)
+            first = np.flatnonzero(np.diff(node, prepend=-1).astype(bool) | np.diff(group[mine], prepend=-1).astype(bool))
+            lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(mine)], pa.int32()), values.take(pa.array(mine)))
+            table = pa.table({"__g": pa.array(group[mine][first], pa.int32()), "__node": pa.array(node[first], pa.int64()), "__cuts": lists})
+            nodes = F.broadcast(spark.createDataFrame(table, node_type))
+            rows = rows.withColumn("__before", number).join(nodes, (F.col("__group") == F.col("__g")) & (F.col("__before") == F.col("__node")), "left")
+            digit = F.aggregate(  # a binary search for the number of cuts before the row
+                F.array(*map(F.lit, STEPS)),
+                F.lit(0),
+                lambda n, step: n + F.when(self._comes_before(F.get("__cuts", n + step - 1)), step).otherwise(0),
+            )
+            rows = rows.select(*map(quoted, kept), (F.col("__before") * FANOUT + digit).alias("__found"))
+            number = F.col("__found")
+            unit //= FANOUT
+        frequent = cuts.filter(cuts["__frequent"])
+        own = F.lit(0)
+        if len(frequent):
+            schema = T.StructType([T.StructField("__g", T.IntegerType()), T.StructField("__node", T.LongType()), *cut_type.fields])
+            renamed = frequent.select(["__group", "__at", *cut_type.names]).rename_columns(["__g", "__node", *cut_type.names])
+            table = F.broadcast(spark.createDataFrame(renamed, schema))
+            rows = rows.join(table, (F.col("__group") == F.col("__g")) & (F.col("__found") == F.col("__node")), "left")
+            equal = _all([quoted(o.column).eqNullSafe(F.col(f"__c{i}")) for i, o in enumerate(self.order_by)])
+            own = F.when(F.col("__node").isNotNull() & equal, 1).otherwise(0)
+        # never null, so a join need not test it again
+        self.frame = rows.select(*map(quoted, kept), F.coalesce(number * 2 + own, F.lit(0)).alias("__slice"))
+
+    def _comes_before(self, cut: Column) -> Column:
+        """Whether ``cut`` sorts before the row; null cuts never do."""
+        result = F.lit(False)
+        for i, o in reversed(list(enumerate(self.order_by))):
+            its, own = cut.getField(f"__c{i}"), quoted(o.column)
+            # nulls come first going up and last going down
+            less = F.coalesce(own < its, own.isNull()) if o.desc else F.coalesce(its < own, its.isNull())
+            result = F.when(its.eqNullSafe(own), result).otherwise(less)
+        return cut.isNotNull() & result
+
+    def _salt(self) -> None:
+        """Spread the rows of slices that hold only peers, and tell what stays large."""
+        sizes = self.frame.groupBy(*self.place).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > self.limit).toArrow()
+        flat = sizes.filter(pc.equal(pc.bit_wise_and(sizes["__slice"], 1), 1))
+        left = len(sizes) - len(flat)
+        salt, is_flat = F.lit(0), (F.col("__slice") % 2) == 1
+        if len(flat):
+            salts = pa.array([-(-2 * n // self.limit) for n in flat["__rows"].to_pylist()], pa.int32())
+            schema = "__group INT, __slice LONG, __salts INT"
+            pinned = self.frame.sparkSession.createDataFrame(flat.select(self.place).append_column("__salts", salts), schema)
+            hashed = [quoted(f.name) for f in self.frame.schema.fields if not has_map(f.dataType)]
+            kept = self.frame.columns
+            salt = F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("__salts")).cast("int"), F.lit(0))
+            salted = self.frame.join(F.broadcast(pinned), self.place, "left").select(*map(quoted, kept), salt.alias("__salt"), is_flat.alias("__flat"))
+            self.frame = salted
+            left += salted.filter("__flat").groupBy(*self.place, "__salt").count().filter(F.col("count") > self.limit).count()
+        else:
+            self.frame = self.frame.withColumns({"__salt": salt, "__flat": is_flat})
+        if left:
+            _log.warning("%s: %d slices of more than %d rows cannot be cut further and take one task each", self.label, left, self.limit)
 
     # -- pieces shared by the functions
 
@@ -351,10 +342,9 @@ class _Slices:
         per_slice = self.frame.groupBy(*place).agg(
             F.count(F.lit(1)).alias("__rows"), *[column.alias(alias) for alias, column in aggs.items()]
         )
-        order = [F.col(c).desc() if desc != reverse else F.col(c).asc() for c, desc in self.path]
-        order += [F.col("__salt")] if "__salt" in place else []
+        order = [F.col("__slice").desc() if reverse else F.col("__slice").asc(), *([F.col("__salt")] if "__salt" in place else [])]
         group = Window.partitionBy("__group")
-        before = group.orderBy(*(order or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)
+        before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return per_slice.select(
             *place,
             *aggs,
@@ -363,6 +353,10 @@ class _Slices:
         )
 
     def _finish(self, rows: DataFrame, name: str, value: Column, dtype: T.DataType) -> DataFrame:
+        if isinstance(dtype, T.IntegerType):
+            text = f"{self.label}: a number is beyond 2147483647, and {dtype.simpleString()} is the type of this function"
+            wide = value.cast("long")
+            value = F.when((wide > 2**31 - 1) | (wide < -(2**31)), F.raise_error(text).cast("int")).otherwise(value)
         done = value.cast(dtype).alias(name)
         kept = [done if c == name else quoted(c) for c in self.columns]
         return rows.select(*kept, *([] if name in self.columns else [done]))
@@ -374,6 +368,8 @@ class _Slices:
             return self._shift(name, call, dtype)
         if call.function in ("row_number", "ntile"):
             return self._numbering(name, call, dtype)
+        if call.function in SPREAD:
+            return self._spread(name, call, dtype)
         if call.function in RUNNING or call.function == "cume_dist":
             return self._running(name, call, dtype)
         return self._ranking(name, call, dtype)
@@ -409,13 +405,16 @@ class _Slices:
 
     def _running(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
         """count, sum, avg, min, max and cume_dist up to the current row and its peers."""
-        starred = call.function == "cume_dist" or call.args[0] == "*"
-        value = F.lit(1) if starred else F.expr(call.args[0])
-        value = value.cast("double") if call.function == "avg" else value
+        kind = RUNNING.get(call.function, call.function)
+        value = F.lit(1) if kind == "cume_dist" or call.args[0] == "*" else F.expr(call.args[0])
+        if call.function == "count_if":
+            value = F.when(value, 1)
+        exact = isinstance(dtype, T.DecimalType)
+        value = value.cast("double") if kind == "avg" and not exact else value
         self.frame = self.frame.withColumn("__value", value)
-        function, merge = {"min": (F.min, F.min), "max": (F.max, F.max)}.get(call.function, (F.sum, F.sum))
+        function, merge = {"min": (F.min, F.min), "max": (F.max, F.max)}.get(kind, (F.sum, F.sum))
         parts = {"__n": F.count("__value")}
-        if call.function in ("sum", "avg", "min", "max"):
+        if kind in ("sum", "avg", "min", "max"):
             parts["__part"] = function("__value")
         earlier = {f"{alias}_before": (F.sum if alias == "__n" else merge)(alias) for alias in parts}
         before = self._subtotals(self.place, parts, earlier)
@@ -426,16 +425,46 @@ class _Slices:
             return F.when(F.col("__flat"), F.col(alias)).otherwise(F.col(f"{alias}_local"))
 
         count = here("__n") + F.coalesce(F.col("__n_before"), F.lit(0))
-        if call.function == "count":
+        if kind == "count":
             return self._finish(rows, name, count, dtype)
-        if call.function == "cume_dist":
+        if kind == "cume_dist":
             return self._finish(rows, name, count / F.col("__group_rows"), dtype)
         part, earlier_part = here("__part"), F.col("__part_before")
-        if call.function in ("min", "max"):
-            pick = F.least if call.function == "min" else F.greatest
+        if kind in ("min", "max"):
+            pick = F.least if kind == "min" else F.greatest
             return self._finish(rows, name, pick(part, earlier_part), dtype)
         total = F.coalesce(part + earlier_part, part, earlier_part)
-        return self._finish(rows, name, total if call.function == "sum" else F.when(count > 0, total / count), dtype)
+        share = total / (count.cast("decimal(20,0)") if exact else count)
+        return self._finish(rows, name, total if kind == "sum" else F.when(count > 0, share), dtype)
+
+    def _spread(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
+        """Variances and deviations: each slice hands on its count, mean and squared differences.
+
+        They are merged pair by pair in the order of the slices, so no large sums
+        of squares meet and cancel.
+        """
+        self.frame = self.frame.withColumn("__value", F.expr(call.args[0]).cast("double"))
+        square = F.var_pop("__value") * F.count("__value")
+        slices = self.frame.groupBy(*self.place).agg(F.count("__value").alias("__n"), F.avg("__value").alias("__mean"), square.alias("__sq"))
+        carried = slices.groupBy("__group").applyInPandas(_carry_moments, f"{slices.schema.simpleString()[7:-1]}, __n_before long, __mean_before double, __sq_before double")
+        window = self._window()
+        local = {"__n_local": F.count("__value").over(window), "__mean_local": F.avg("__value").over(window), "__var_local": F.var_pop("__value").over(window)}
+        rows = self.frame.withColumns(local).withColumn("__sq_local", F.col("__var_local") * F.col("__n_local"))
+        rows = rows.join(carried, self.place)
+
+        def here(alias: str) -> Column:
+            return F.when(F.col("__flat"), F.col(alias)).otherwise(F.col(f"{alias}_local"))
+
+        def told(column: Column) -> Column:  # what is not a number comes back from pandas as null
+            return F.coalesce(column, F.lit(float("nan")))
+
+        n, before = here("__n"), F.col("__n_before")
+        own, earlier = told(here("__sq")), told(F.col("__sq_before"))
+        count, apart = before + n, told(here("__mean")) - told(F.col("__mean_before"))
+        total = F.when(before == 0, own).when(n == 0, earlier).otherwise(earlier + own + apart * apart * before * n / count)
+        sample = SPREAD[call.function] == "samp"
+        variance = F.when(count > (1 if sample else 0), total / (count - 1 if sample else count))
+        return self._finish(rows, name, F.sqrt(variance) if call.function.startswith("std") else variance, dtype)
 
     def _shift(self, name: str, call: Call, dtype: T.DataType) -> DataFrame:
         """lag and lead: rows near the start of a slice look into earlier slices.
@@ -465,15 +494,19 @@ class _Slices:
         )
 
 
-def _padded(cuts: list[float]) -> list[float]:
-    return cuts + [math.nan] * (CUTS - len(cuts))  # no position is above NaN
-
-
-def _shared_prefix(low, high) -> int:
-    """How many bytes all strings between two strings have in common at the start."""
-    if not isinstance(low, str) or not isinstance(high, str):
-        return 0
-    return len(os.path.commonprefix([low.encode(), high.encode()]))
+def _carry_moments(slices: pd.DataFrame) -> pd.DataFrame:
+    """Count, mean and squared differences of all slices of a group before each one."""
+    slices = slices.sort_values("__slice")
+    count, mean, square, carried = 0, 0.0, 0.0, []
+    for n, own_mean, own_square in zip(slices["__n"].tolist(), slices["__mean"].tolist(), slices["__sq"].tolist()):
+        carried.append((count, mean, square))
+        if n:
+            apart = own_mean - mean
+            square = square + own_square + apart * apart * count * n / (count + n) if count else own_square
+            mean = mean + apart * n / (count + n) if count else own_mean
+            count += n
+    before = pd.DataFrame(carried, columns=["__n_before", "__mean_before", "__sq_before"], index=slices.index)
+    return pd.concat([slices, before], axis=1)
 
 
 def _tile(position: Column, total: Column, tiles: int) -> Column:

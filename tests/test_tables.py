@@ -57,8 +57,8 @@ def test_diff_kinds_and_changes(old, new):
     diff = by_id(snapshot_diff(new, old, ["id"]))
     assert {k: r.change_type for k, r in diff.items()} == {2: "Modify", 3: "Delete", 4: "Create", 5: "Modify"}
     assert {f: tuple(c) for f, c in diff[2].changes.items()} == {"a": ("was", "is"), "b": ("2.0", "2.5")}
-    assert tuple(diff[5].changes["a"]) == ("null", "null")  # null became the text
-    assert tuple(diff[5].changes["m"]) == ("null", '[{"key":"k","value":"v"}]')
+    assert tuple(diff[5].changes["a"]) == (None, "null")  # null became the text
+    assert tuple(diff[5].changes["m"]) == (None, '[{"key":"k","value":"v"}]')
     names = snapshot_diff(new, old, ["id"]).filter("id = 5").select(F.map_keys("changes")).first()[0]
     assert names == ["a", "l", "m"]
     assert diff[3].changes is None and diff[4].changes is None
@@ -91,7 +91,7 @@ def test_diff_with_itself_is_empty_and_applying_it_gives_the_new_snapshot(old, n
 def test_diff_counts_a_missing_column_as_null(rows):
     new, old = rows([(1, "x", 5), (2, "y", None)], "id INT, a STRING, extra INT"), rows([(1, "x"), (2, "y")], "id INT, a STRING")
     diff = by_id(snapshot_diff(new, old, ["id"]))
-    assert {k: {f: tuple(c) for f, c in r.changes.items()} for k, r in diff.items()} == {1: {"extra": ("null", "5")}}
+    assert {k: {f: tuple(c) for f, c in r.changes.items()} for k, r in diff.items()} == {1: {"extra": (None, "5")}}
 
 
 @pytest.mark.parametrize("detail", [True, False])
@@ -231,3 +231,38 @@ def test_duplicates_name_every_origin(rows):
 def test_orphans_skip_null_references(rows):
     refs, known = rows([(1, 10), (2, 99), (3, None)], "id INT, ref INT"), rows([(10,), (10,), (None,)], "key INT")
     assert [tuple(r) for r in find_orphans(refs, "ref", known, "key").collect()] == [(2, 99, "ref", "99")]
+
+
+def test_canonical_text_does_not_depend_on_the_session_zone(spark):
+    df = spark.sql(
+        "SELECT id, timestamp_micros(1730611800000000 + 3600000000 * id) AS at FROM VALUES (0L), (1L) AS t(id)"
+    )  # 05:30 and 06:30 UTC, both 01:30 in New York on that night
+    old, new = df.filter("id = 0").selectExpr("1 AS k", "at"), df.filter("id = 1").selectExpr("1 AS k", "at")
+    prints, hashes, zone = [], [], spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/New_York", "UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            row = snapshot_diff(new, old, ["k"]).first()
+            assert tuple(row.changes["at"]) == ("2024-11-03 05:30:00Z", "2024-11-03 06:30:00Z")
+            hashes.append((row.old_hash, row.new_hash))
+            nested = df.selectExpr("id", "map(at, array(at)) AS m", "named_struct('at', at, 'x', map(named_struct('t', at), 1)) AS s")
+            prints.append([r.fingerprint for r in fingerprint(nested, ["m", "s"]).orderBy("id").collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(set(hashes)) == 1 and prints[0] == prints[1] == prints[2] and prints[0][0] != prints[0][1]
+
+
+def test_fingerprints_tell_map_keys_apart_to_the_microsecond(spark):
+    df = spark.sql("SELECT map(timestamp_micros(1000000 + id), 'v') AS m, map(timestamp_ntz '2024-01-01' + make_interval(0,0,0,0,0,0,id / 1e6), 1) AS n FROM range(1, 4)")
+    for name in ("m", "n"):
+        assert len({r.fingerprint for r in fingerprint(df, [name]).collect()}) == 3
+    zeros = spark.sql("SELECT double('-0.0') AS d, array(float('-0.0')) AS a UNION ALL SELECT double('0.0'), array(float('0.0'))")
+    assert len({r.fingerprint for r in fingerprint(zeros).collect()}) == 1
+    assert snapshot_diff(zeros.limit(1).selectExpr("1 AS k", "d"), zeros.selectExpr("1 AS k", "d").limit(1), ["k"]).count() == 0
+
+
+def test_null_and_the_text_null_are_told_apart(spark):
+    old = spark.sql("SELECT 1 AS k, 'null' AS a, CAST(NULL AS STRING) AS b")
+    new = spark.sql("SELECT 1 AS k, CAST(NULL AS STRING) AS a, 'null' AS b")
+    changes = snapshot_diff(new, old, ["k"]).first().changes
+    assert tuple(changes["a"]) == ("null", None) and tuple(changes["b"]) == (None, "null")

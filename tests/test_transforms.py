@@ -2,6 +2,8 @@ import pytest
 
 from etlspec import TransformError, run_pipeline
 from etlspec.operators.joins import join
+from etlspec.operators.quality import find_orphans
+from etlspec.operators.snapshots import scope_to
 from etlspec.operators.projection import rename, run_sql
 from tests.conftest import collected
 
@@ -177,3 +179,48 @@ def test_steps_default_to_the_previous_output(spark, orders):
 def test_duplicate_output_columns_are_named(spark, orders):
     with pytest.raises(ValueError, match="amount"):
         run(spark, {"orders": orders}, {"type": "sql", "query": "SELECT amount, amount FROM orders"})
+
+
+@pytest.fixture
+def skewed(spark):
+    """80 % of the rows on one key, and settings by which that is skew."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield spark.range(0, 200_000, 1, 8).selectExpr("IF(id % 5 < 4, 7, id) AS k", "id AS x", "repeat(string(id), 3) AS t")
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def split_joins(df):
+    """How many joins the finished plan has, and how many of them adaptive execution split."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    return len(joins), sum("skew=true" in line for line in joins)
+
+
+def test_a_frequent_key_is_split_in_every_join(spark, skewed):
+    known = spark.range(0, 200_000, 3, 4).selectExpr("id AS k", "id AS y")
+    for how in ("left_semi", "left_anti", "inner", "left"):
+        got = join(skewed, known, "k", how)
+        assert split_joins(got) == (1, 1), how
+        assert got.count() == skewed.join(known, "k", how).count()
+    for how, left, right in (("right", skewed, known), ("left", known, skewed), ("outer", skewed, known), ("outer", known, skewed)):
+        got = join(left, right, "k", how, split_rows=50_000)
+        joins, split = split_joins(got)
+        assert joins == {"left": 2, "right": 2, "outer": 3}[how] and split >= 1, how
+        assert got.count() == left.join(right, "k", how).count()
+    both = join(skewed, known, "k", "outer", split_rows=50_000)
+    assert split_joins(both) == (3, 2)  # the rows of the other side alone have no frequent key
+    assert split_joins(scope_to(skewed, known, ["k"])) == (1, 1)
+    assert split_joins(find_orphans(skewed, "k", known, "k")) == (1, 1)
