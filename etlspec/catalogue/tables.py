@@ -60,8 +60,7 @@ def ra_snapshot_diff(spark, sf_dir):
 
 
 def _field_sql(field: str) -> str:
-    return f"""SELECT n.o_orderkey, '{field}' AS field, coalesce(CAST(o.{field} AS VARCHAR), 'null') AS old_value,
-                      coalesce(CAST(n.{field} AS VARCHAR), 'null') AS new_value
+    return f"""SELECT n.o_orderkey, '{field}' AS field, CAST(o.{field} AS VARCHAR) AS old_value, CAST(n.{field} AS VARCHAR) AS new_value
                FROM ({_NEW}) n JOIN ({_OLD}) o ON n.o_orderkey = o.o_orderkey
                WHERE n.{field} IS DISTINCT FROM o.{field}"""
 
