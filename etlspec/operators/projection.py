@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from etlspec.functions.columns import compile_column
 
-# The words a query may start with.
-QUERY_STARTS = ("select", "with", "from", "values", "table")
-# Quoted text, quoted names and comments of a query.
-_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.S)
-_WRITES = re.compile(r"\binsert\s+(?:into|overwrite)\b", re.I)
-
+# Spark's kinds of plans that are no query.
+NOT_QUERIES = ("plans.logical.Command", "plans.logical.ParsedStatement", "plans.logical.InsertIntoDir", "analysis.UnresolvedExecuteImmediate")
 
 def filter_rows(df: DataFrame, condition: str) -> DataFrame:
     return df.filter(compile_column(condition))
@@ -54,13 +50,10 @@ def run_sql(spark: SparkSession, frames: Mapping[str, DataFrame], query: str) ->
 
     The plan is analysed here and now, so a later rebinding of a name does not
     change it, and the frames' names are gone afterwards: views that they hid
-    are back. Queries that write are refused.
+    are back. A text that is no query, or holds anything that writes or changes
+    the session, is refused before it is analysed.
     """
-    first = query.lstrip(" \t\r\n(").split(None, 1)
-    if not first or first[0].lower().rstrip("(") not in QUERY_STARTS:
-        raise ValueError(f"a query must start with one of: {', '.join(QUERY_STARTS).upper()}")
-    if _WRITES.search(_QUOTED.sub(" ", query)):
-        raise ValueError("a query may only read: it holds an INSERT")
+    _refuse_commands(spark, query)
     shadowed = {n: spark.table(n) for n in frames if _is_temporary(spark, n)}
     try:
         for name, frame in frames.items():
@@ -74,6 +67,28 @@ def run_sql(spark: SparkSession, frames: Mapping[str, DataFrame], query: str) ->
                 spark.catalog.dropTempView(name)
 
 
+def _refuse_commands(spark: SparkSession, query: str) -> None:
+    """Raise unless every node of the parsed plan only reads.
+
+    The text is parsed by Spark, not analysed, and not run. Commands, writes at
+    any depth (below WITH, or several of one multi-insert), scripts and texts that
+    are run as SQL in turn are plans of their own kinds, whatever their wording.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except PySparkException as error:
+        raise ValueError(f"this is not a query: {error}") from error
+    named = spark._jvm.java.lang.Class.forName
+    refused = [named(f"org.apache.spark.sql.catalyst.{kind}") for kind in NOT_QUERIES]
+    left = [plan]
+    while left:
+        node = left.pop()
+        if any(kind.isInstance(node) for kind in refused):
+            raise ValueError(f"a query may only read; this one holds {node.nodeName()}")
+        for below in (node.children(), node.innerChildren(), node.subqueries()):
+            left += [below.apply(i) for i in range(below.size())]
+
+
 def _is_temporary(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,17 +97,21 @@ def holds(col: str, condition: str | Column, message: str, severity: str = "erro
 def check_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
     """Every violation of every rule: the keys, ``field``, ``message``, ``severity``.
 
-    No rule hides another. One narrow pass; rows without violations produce
-    nothing.
+    No rule hides another. One narrow pass: a filter inside generated code finds
+    the rows that break a rule, and only those get their messages.
     """
     _refuse(keys, ["field", "message", "severity"])
     types = {f.name: f.dataType for f in df.schema.fields}
+    if not rules:
+        none = [F.lit("").alias(n) for n in ("field", "message", "severity")]
+        return df.select(*map(quoted, keys), *none).limit(0)
+    messages = [rule.message(types) for rule in rules]
     found = [
-        F.struct(F.lit(rule.field).alias("field"), rule.message(types).alias("message"), F.lit(rule.severity).alias("severity"))
-        for rule in rules
+        F.when(text.isNotNull(), F.struct(F.lit(rule.field).alias("field"), text.alias("message"), F.lit(rule.severity).alias("severity")))
+        for rule, text in zip(rules, messages)
     ]
-    broken = F.filter(F.array(*found), lambda x: x["message"].isNotNull())
-    return df.select(*map(quoted, keys), F.explode_outer(broken).alias("__found")).filter("__found IS NOT NULL").select(
+    broken = df.filter(reduce(lambda a, b: a | b, [text.isNotNull() for text in messages]))
+    return broken.select(*map(quoted, keys), F.explode(F.array_compact(F.array(*found))).alias("__found")).select(
         *map(quoted, keys), "__found.field", "__found.message", "__found.severity"
     )
 

@@ -7,18 +7,23 @@ ordinary run of the spec with that source bound to the new rows, so
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from etlspec.functions.canonical import quoted
 from etlspec.operators.sizes import SPLIT_ROWS
 from etlspec.plans.pipeline import output_sink, plan
 from etlspec.plans.spec import PipelineSpec, load_spec
 from etlspec.sinks.write import write_sink
 from etlspec.sources.jdbc import Credentials
-from etlspec.sources.read import read_source, stream_source
+from etlspec.sources.read import read_source, stream_source, table_name
+
+_log = logging.getLogger(__name__)
 
 RUN_COLUMN, BATCH_COLUMN = "ingest_run", "ingest_batch"
 _STREAMED = ("s3", "kafka")
@@ -48,8 +53,11 @@ def run_incremental(
 
     A file sink is written below ``ingest_run=<id>/ingest_batch=<n>``, and a
     batch that is repeated after a failure replaces its own directory, so no row
-    is lost or doubled. Other sinks append, and a repeated batch may append
-    again unless the target rejects duplicates.
+    is lost or doubled. Rows for a catalog or ``iceberg`` table carry the same two
+    as columns, and a batch whose run and number the table holds already is
+    not appended again; this relies on the table format to add all rows of a
+    write or none. A table that was made without the two columns can't tell, so
+    there, as in other sinks, a repeated batch appends again, with a warning.
     """
     given = dict(frames or {})
     spec = load_spec(spec, base_dir=base_dir, frames=tuple(given))
@@ -94,4 +102,21 @@ def _write_batch(df: DataFrame, spec: PipelineSpec, run: str, batch_id: int, cre
         )
     else:
         sink = replace(sink, mode="append")
+        if sink.kind in ("catalog", "iceberg"):
+            df = _not_yet_appended(df, table_name(sink.database, sink.table), run, batch_id)
     write_sink(df, sink, credentials=credentials, provider=provider)
+
+
+def _not_yet_appended(df: DataFrame, table: str, run: str, batch_id: int) -> DataFrame:
+    """The batch with its run and number as columns, less what the table holds of it."""
+    marked = df.withColumns({RUN_COLUMN: F.lit(run), BATCH_COLUMN: F.lit(batch_id).cast("long")})
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        return marked
+    present = spark.table(table)
+    if not {RUN_COLUMN, BATCH_COLUMN} <= set(present.columns):
+        _log.warning("table %s has no columns %s and %s, so a repeated batch would be appended again", table, RUN_COLUMN, BATCH_COLUMN)
+        return df
+    mine = present.filter((F.col(RUN_COLUMN) == run) & (F.col(BATCH_COLUMN) == batch_id))
+    ledger = mine.select(RUN_COLUMN, BATCH_COLUMN).limit(1)  # one row, or none
+    return marked.join(F.broadcast(ledger), [RUN_COLUMN, BATCH_COLUMN], "left_anti").select(*map(quoted, marked.columns))

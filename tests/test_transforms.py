@@ -68,12 +68,39 @@ def test_sql_sees_all_frames_and_rebinding_keeps_earlier_results(spark, orders):
     assert tuple(result.output.first()) == (4, 1)
 
 
-@pytest.mark.parametrize("text", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "", "CREATE VIEW v AS SELECT 1", "SET a=b"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DROP TABLE x", "INSERT INTO x VALUES (1)", "", "CREATE VIEW v AS SELECT 1", "SET a=b", "not a query",
+        "WITH q AS (SELECT 1 AS a) INSERT INTO x SELECT a FROM q",
+        "FROM y INSERT INTO x SELECT a INSERT INTO z SELECT b",
+        "/* SELECT */ DELETE FROM x WHERE a = 1",
+        "WITH q AS (SELECT 1 AS a) DELETE FROM x WHERE a IN (SELECT a FROM q)",
+        "WITH q AS (SELECT 1 AS a) UPDATE x SET a = 2 WHERE a IN (SELECT a FROM q)",
+        "MERGE INTO x USING y ON x.a = y.a WHEN MATCHED THEN DELETE",
+        "WITH q AS (SELECT 1 AS a) MERGE INTO x USING q ON x.a = q.a WHEN NOT MATCHED THEN INSERT *",
+        "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1",
+        "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'DROP TABLE x'", "CACHE TABLE x", "SHOW TABLES", "TRUNCATE TABLE x",
+    ],
+)
 def test_sql_takes_queries_only(spark, text):
-    with pytest.raises(ValueError, match="must start with"):
+    with pytest.raises(ValueError, match="may only read|not a query"):
         run_sql(spark, {}, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT 'INSERT INTO x' AS a, `delete from` FROM VALUES (1) AS t(`delete from`)",
+        "-- DROP TABLE x\nFROM VALUES (1) AS t(a) SELECT a",
+        "WITH a AS (WITH b AS (SELECT 1 AS x) SELECT * FROM b) SELECT * FROM a WHERE x IN (SELECT 1) AND EXISTS (SELECT 2)",
+        "TABLE given", "VALUES (1) |> SELECT col1 + 1 AS y",
+    ],
+)
+def test_sql_that_only_reads_is_run(spark, text):
+    assert run_sql(spark, {"given": spark.range(1)}, text).count() == 1
+
+
 @pytest.mark.parametrize("text", ["(SELECT 1 AS a)", "with t as (select 1 a) select a from t", "VALUES (1)", "\n select 1"])
 def test_sql_query_forms(spark, text):
     assert run_sql(spark, {}, text).count() == 1
