@@ -319,11 +319,20 @@ def near_duplicates(
     component, which is null if the group has no id at all. Repeated rows give
     repeated rows, an empty table gives none, and other columns are not used.
     """
+    marked, classes = _classes(docs, id_col, text_col, shingle_words, max_bits, equal_blocks, similarity)
+    return marked.join(classes, "node").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def _classes(
+    docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int, equal_blocks: int, similarity: float | None, keyed: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The documents (id, fp, node), ``keyed`` also by text_key, and each node's class (node, root, component_id)."""
     text = column(docs, text_col)
     marked = docs.select(column(docs, id_col).cast("long").alias("id"), fingerprint(text, shingle_words).alias("fp"), text.alias("text"))
     # a fingerprint, or one with a set of shingles, is its own node, so that documents without an id link others too
     if similarity is None:
-        marked = settled(marked.select("id", "fp", F.col("fp").alias("node")))
+        key = [F.xxhash64("text").alias("text_key")] if keyed else []
+        marked = settled(marked.select("id", "fp", F.col("fp").alias("node"), *key))
         links = close_links(marked.select(F.col("fp").alias("id"), "fp").distinct(), max_bits, equal_blocks)
     else:
         texts = marked.select(F.xxhash64("text").alias("text_key"), "text")
@@ -339,8 +348,7 @@ def near_duplicates(
     least = marked.groupBy("node").agg(F.min("id").alias("least"))
     placed = least.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("node", "root").join(lowest, "root").select("node", "component_id")
-    return marked.join(classes, "node").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    return marked, placed.select("node", "root").join(lowest, "root").select("node", "root", "component_id")
 
 
 def keep_one(
@@ -353,14 +361,26 @@ def keep_one(
     equal_blocks: int = 3,
     similarity: float | None = None,
 ) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest id.
+    """``docs`` with one row of each near-duplicate group.
 
-    Rows that share an id are one document and stay or go together. Rows without
-    an id are kept, since nothing tells them apart.
+    Of each group the row with the smallest id stays, rows without an id last.
+    Where an id has several texts the row with the smaller hash of its text
+    stays, and of rows equal in both one of them. So a text that has no copy
+    stays, whatever other rows share its id or have none. Rows of a group are
+    counted by id and text before they meet, so copies never gather in one task.
     """
-    groups = near_duplicates(
-        docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits, equal_blocks=equal_blocks, similarity=similarity
-    )
-    gone = settled(groups.where(F.col(id_col) != F.col("component_id")).select(column(groups, id_col).cast("long").alias("gone_id")).distinct())
-    mine = fresh(docs, "gone_id")[0]
-    return docs.join(gone.withColumnRenamed("gone_id", mine), column(docs, id_col).cast("long") == F.col(mine), "left_anti")
+    marked, classes = _classes(docs, id_col, text_col, shingle_words, max_bits, equal_blocks, similarity, keyed=True)
+    rows = marked.groupBy("node", "id", "text_key").agg(F.count("*").alias("n"))
+    placed = settled(rows.join(classes.select("node", "root"), "node").select("root", "id", "text_key", "n"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("kept"))
+    mine = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("text_key") == F.col("kept.text_key"))
+    judged = placed.join(first, "root").select("id", "text_key", "n", mine.alias("stays")).where("NOT stays OR n > 1")
+    judged = settled(judged)
+    i, t = fresh(docs, "judged_id", "judged_text")
+    same = column(docs, id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(column(docs, text_col)) == F.col(t))
+    touched = judged.select(F.col("id").alias(i), F.col("text_key").alias(t))
+    repeated = judged.where("stays").select(F.col("id").alias(i), F.col("text_key").alias(t))
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    whole, order = F.struct(*[column(docs, c) for c in docs.columns]), F.xxhash64(*[column(docs, c) for c in plain])
+    one = docs.join(repeated, same).groupBy(i, t).agg(F.min_by(whole, order).alias("row")).select("row.*")
+    return docs.join(touched, same, "left_anti").unionByName(one)

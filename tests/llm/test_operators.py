@@ -105,9 +105,20 @@ def test_similar_texts_link(spark, docs, empty, monkeypatch):
     kept = simhash.keep_one(docs, similarity=0.8)
     assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
     assert kept.where("doc_id IN (0, 1, 2, 4, 5)").select("doc_id").distinct().count() == 2  # blank; long
+    assert kept.count() == kept.distinct().count() == kept.select("text").distinct().count()
     assert simhash.near_duplicates(empty, similarity=0.8).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_one_decides_by_row(spark, similarity):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, {1: 2}), (1, a, {1: 3}), (1, b, None), (2, a, None), (2, b, None), (None, a, None), (None, c, None), (None, c, None), (3, d, None), (3, c + " more", None), (4, None, None), (5, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, judged_id map<int,int>").repartition(3)
+    got = sorted((str(r.doc_id), str(r.text)) for r in simhash.keep_one(frame, similarity=similarity).collect())
+    assert got == [("1", a), ("1", b), ("3", c + " more"), ("3", d), ("4", "None")]
+    assert simhash.keep_one(frame.limit(0), similarity=similarity).count() == 0
+
+
 def test_similar_texts_are_those_of_the_exact_similarity(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SET_PART_ROWS", 6)
     rng = random.Random(9)
