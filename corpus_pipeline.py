@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etlspec.llm import decontaminate, lines, packing, quality, simhash
-from etlspec.llm.common import checkpoint_folder
+from etlspec.llm.common import forget, stored
 from etlspec.llm.queries import table, word_tokenizer
 
 #: A document goes if its probability of good quality is below this.
@@ -58,13 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to shared storage and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{folder}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over ``documents``; each result is kept in shared storage until the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        forget(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
