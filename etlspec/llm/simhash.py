@@ -122,7 +122,9 @@ def sketch(text: Column, shingle_words: int) -> Column:
             return _kept_byte(least).tobytes(), keys, xxhash.xxh64_intdigest(runs.tobytes(), 7) - (1 << 63)
 
         for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch], columns=["sketch", "bands", "digest"]).astype({"digest": "Int64"})
+            sketches, bands, digests = zip(*map(one, batch)) if len(batch) else ((), (), ())
+            # whole numbers beside nulls would pass through floats and lose digits
+            yield pd.DataFrame({"sketch": pd.Series(sketches, dtype=object), "bands": pd.Series(bands, dtype=object), "digest": pd.array(digests, dtype="Int64")})
 
     return of(text.cast("binary"))
 
@@ -371,7 +373,8 @@ def keep_one(
     """
     marked, classes = _classes(docs, id_col, text_col, shingle_words, max_bits, equal_blocks, similarity, keyed=True)
     rows = marked.groupBy("node", "id", "text_key").agg(F.count("*").alias("n"))
-    placed = settled(rows.join(classes.select("node", "root"), "node").select("root", "id", "text_key", "n"))
+    placed = rows.join(classes.select("node", "root"), "node").groupBy("root", "id", "text_key").agg(F.sum("n").alias("n"))
+    placed = settled(placed)
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("kept"))
     mine = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("text_key") == F.col("kept.text_key"))
     judged = placed.join(first, "root").select("id", "text_key", "n", mine.alias("stays")).where("NOT stays OR n > 1")

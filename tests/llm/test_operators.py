@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from etlspec.llm import chat, decontaminate, langid, lines, packing, pseudonyms, quality, sharding, simhash, topk
 from etlspec.llm.components import components
@@ -109,6 +110,13 @@ def test_similar_texts_link(spark, docs, empty, monkeypatch):
     assert simhash.near_duplicates(empty, similarity=0.8).count() == 0
 
 
+def test_equal_texts_have_equal_digests_beside_nulls(spark):
+    frame = spark.createDataFrame([("one two three",), (None,), ("one two three",)], "text string").coalesce(1)
+    alone = frame.where("text IS NOT NULL").limit(1)
+    found = {r.d for f in (frame, alone) for r in f.select(simhash.sketch(F.col("text"), 2)["digest"].alias("d")).collect()}
+    assert len(found) == 2 and None in found
+
+
 @pytest.mark.parametrize("similarity", [None, 0.8])
 def test_keep_one_decides_by_row(spark, similarity):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
