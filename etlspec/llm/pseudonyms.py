@@ -9,14 +9,14 @@ from etlspec.llm.common import column, fresh, without
 
 #: What to look for, first match first. Digits next to a match are no part of it.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"(?i:\b(?:password|passwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9]{8,128}\b",
+    "secret": r"(?i:\b(?:password|passwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\"']?)[^\s\"']{8,}+",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?<![\w-])\d(?:[ -]?\d){12,}+(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every match of every kind holds one of these.
@@ -130,12 +130,12 @@ def _of(kind: str, value: Column, key: str) -> Column:
     alnum = lambda x: F.regexp_replace(x, "[^0-9A-Za-z]", "")
     if kind == "email":
         local, rest = F.substring_index(value, "@", 1), F.regexp_extract(value, "@.*$", 0)
-        return F.concat(_laid_out(local, _letters(key, kind, alnum(local))), rest)
+        return F.when(alnum(local) != "", F.concat(_laid_out(local, _letters(key, kind, alnum(local))), rest))
     if kind == "access_key":
         return F.concat(F.substring(value, 1, 4), _letters(key, kind, F.substring(value, 5, 16)))
     if kind == "secret":
-        head, rest = _split_head(value, r"^.*[^A-Za-z0-9]")
-        return F.concat(head, _letters(key, kind, rest))
+        head, rest = _split_head(value, r"^[A-Za-z_]+ ?[=:] ?[\"']?")
+        return F.when(alnum(rest) != "", F.concat(head, _laid_out(rest, _letters(key, kind, alnum(rest)))))
     if kind == "ip":
         parts = F.transform(F.split(value, r"\."), lambda x: x.try_cast("long"))
         valid = F.forall(parts, lambda x: x < 256)
@@ -174,46 +174,63 @@ def _of(kind: str, value: Column, key: str) -> Column:
         head, rest = _split_head(value, r"^\+\d{1,3}(?=[ .(-])")
         count = F.length(alnum(value))
         return F.when(count.between(8, 15), F.concat(head, _laid_out(rest, _letters(key, kind, alnum(rest), leading=True))))
-    return _let(_card_run(value), lambda run: F.when(run.isNotNull(), _card(value, run["start"], run["end"], key)))
+    return _cards(value, key)
 
 
-def _card_run(value: Column) -> Column:
-    """Where the card number in a run of digit groups is: the first start, and the longest run from there, that pass the Luhn test; null if none."""
+def _cards(value: Column, key: str) -> Column:
+    """A run of digit groups with each card number in it replaced; null if it holds none.
+
+    A number of 13 to 19 digits that passes the Luhn test, made of whole groups:
+    the whole run, or else, from left to right, the longest one from each group
+    on whose groups have four digits or more, but for the last.
+    """
     size = F.length(value)
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    part = lambda start, end: F.substring(value, start, end - start + 1)
+    sign = lambda at: F.substring(value, at, F.lit(1)).isin(" ", "-")
 
-    def valid(start: Column, end: Column) -> Column:
-        digits = F.regexp_replace(F.substring(value, start, end - start + 1), "[^0-9]", "")
-        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        return F.length(digits).between(13, 19) & (_check_digit(body) == F.substring(digits, -1, 1))
+    def valid(number: Column) -> Column:
+        return _let(digits(number), lambda d: F.length(d).between(13, 19) & (_check_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1)))
 
-    run = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
-    sign = lambda at: F.substring(value, at, F.lit(1)).isin(" ", "-")
-    places = F.sequence(F.lit(1), size)
-    starts = F.filter(places, lambda i: (i == 1) | sign(i - 1))
-    ends = F.reverse(F.filter(places, lambda i: (i == size) | sign(i + 1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: j > i), lambda j: run(i, j))))
-    shorter = F.get(F.filter(runs, lambda r: valid(r["start"], r["end"])), F.lit(0))
-    return F.when(valid(F.lit(1), size), run(F.lit(1), size)).otherwise(shorter)
+    def end_from(start: Column) -> Column:
+        """Where the longest number from here ends; null if there is none."""
+        reach = F.least(size, start + 36)  # 19 digits and 18 signs at most
+        ends = F.filter(F.sequence(reach, F.least(reach, start + 12)), lambda j: ~sign(j) & ((j == size) | sign(j + 1)))
+        grouped = lambda j: part(start, j).rlike(r"^(?:\d{4,}[ -])*\d+$")
+        return F.get(F.filter(ends, lambda j: grouped(j) & valid(part(start, j))), F.lit(0))
+
+    def step(s: Column, start: Column) -> Column:
+        found = F.when(start >= s["next"], end_from(start))
+        return _let(
+            found,
+            lambda end: F.when(end.isNull(), s).otherwise(
+                F.struct((end + 1).alias("next"), F.concat(s["out"], part(s["next"], start - 1), _card(part(start, end), key)).alias("out"))
+            ),
+        )
+
+    starts = F.filter(F.sequence(F.lit(1), size), lambda i: ~sign(i) & ((i == 1) | sign(i - 1)))
+    scanned = F.aggregate(starts, F.struct(F.lit(1).alias("next"), F.lit("").alias("out")), step)
+    rest = lambda s: F.when(s["next"] > 1, F.concat(s["out"], part(s["next"], size)))
+    return F.when(valid(value), _card(value, key)).otherwise(_let(scanned, rest))
 
 
-def _card(value: Column, start: Column, end: Column, key: str) -> Column:
-    """``value`` with the card number from ``start`` to ``end`` replaced."""
-    number = F.substring(value, start, end - start + 1)
+def _card(number: Column, key: str) -> Column:
     digits = F.regexp_replace(number, "[^0-9]", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = _let(_letters(key, "card", body), lambda b: F.concat(b, _check_digit(b)))
-    return F.concat(F.substring(value, F.lit(1), start - 1), _laid_out(number, new), F.substring(value, end + 1, F.length(value)))
+    return _laid_out(number, _let(_letters(key, "card", body), lambda b: F.concat(b, _check_digit(b))))
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col: str = "pii") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms of the same format.
 
     Kinds: e-mail addresses (the part before the @), access keys, secrets after
-    ``password=`` and the like, IPv4 addresses, dates, US social security
-    numbers, phone numbers and card numbers. Numbers and dates are validated
-    (Luhn test, octets, calendar, number ranges); what fails stays as it is. Of
-    a run of 13 to 19 digits in groups that fails, the runs of whole groups in
-    it are tried, so a card next to a short number is found. A valid value becomes another valid value of its kind by a keyed permutation
+    ``password=`` and the like (eight characters or more, up to a blank or a
+    quote; ASCII letters and digits of it are replaced), IPv4 addresses, dates, US
+    social security numbers, phone numbers and card numbers. Numbers and dates
+    are validated (Luhn test, octets, calendar, number ranges); what fails stays
+    as it is. In a run of digit groups of any length that is no card number, all
+    runs of whole groups are tried, so cards among other numbers are found. A
+    valid value becomes another valid value of its kind by a keyed permutation
     of that format's values, so equal values stay equal in all documents,
     different ones stay different, and separators stay in place. Values of more
     than ``PIECE`` characters are permuted piece by piece. A permutation may
@@ -221,7 +238,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col
     values (an e-mail name of one letter) that is not rare.
 
     ``found_col`` is added: map<string, int> of the number of replacements by
-    kind, empty if none. No shuffle, and no Python. ``key`` is part of the plan,
+    kind, empty if none; all cards in one run of digit groups count once. No shuffle, and no Python. ``key`` is part of the plan,
     so keep plans and event logs as safe as the key. Null texts stay null with
     no replacement; other columns and repeated rows pass through; a
     ``found_col`` already present is replaced.
