@@ -10,7 +10,10 @@ from etlspec import add_time_partitions, mask_pii, pii_report, run_pipeline, wit
 from etlspec.functions.privacy import ENTITIES, PATTERNS, redact
 from tests.conftest import SMALL
 
-NEAR_MISSES = ["12-34-5678", "1.2.3", "a@b", "@x.com", "12345", "555-12-123", "2024-01-31", ""]
+NEAR_MISSES = [
+    "12-34-5678", "1.2.3", "a@b", "@x.com", "12345", "555-12-123", "2024-01-31", "", "1700000000", "12:30:45", "00:1A:2B:3C:4D:5E", "std::vector",
+    "x::1", "+12 345", "1 + 1234567", "22345678901", "a:b::", "1234567:1::2x",
+]
 
 
 @pytest.mark.parametrize(
@@ -24,6 +27,10 @@ NEAR_MISSES = ["12-34-5678", "1.2.3", "a@b", "@x.com", "12345", "555-12-123", "2
         ("from 10.0.0.255 to", "from [IP_ADDRESS] to"),
         ("call (555) 123-4567 or +1 555-123-4567", "call [PHONE_NUMBER] or [PHONE_NUMBER]"),
         ("a@b.com_x@y.org,z@w.net", "[EMAIL][EMAIL],[EMAIL]"),
+        ("5551234567, +44 20 7946 0958; +33 1 23 45 67 89", "[PHONE_NUMBER], [PHONE_NUMBER]; [PHONE_NUMBER]"),
+        ("+49 (30) 123456 or +15551234567", "[PHONE_NUMBER] or [PHONE_NUMBER]"),
+        ("at 2001:db8:0:0:8a2e:370:7334:1, fe80::1 and abcd::beef", "at [IP_ADDRESS], [IP_ADDRESS] and [IP_ADDRESS]"),
+        ("abcd:abcd:abcd:abcd:abcd:abcd:abcd:beef", "[IP_ADDRESS]"),
         *[(t, t) for t in NEAR_MISSES],
     ],
 )
@@ -70,11 +77,20 @@ def test_nested_strings_are_masked_and_the_schema_stays(spark):
     out = mask_pii(df, ["EMAIL"])
     assert [(f.name, f.dataType.simpleString()) for f in out.schema] == [(f.name, f.dataType.simpleString()) for f in df.schema]
     first, second = out.orderBy("id").collect()
-    assert first.a == ["[EMAIL]", None] and first.m == {"k@k.com": "[EMAIL]"}
+    assert first.a == ["[EMAIL]", None] and first.m == {"[EMAIL]": "[EMAIL]"}
     assert (first.s.x, first.s.n, first.s.l[0].y) == ("x [EMAIL]", 7, "[EMAIL]")
     assert second.s is None and second.a is None
 
 
+def test_keys_that_become_equal_are_numbered(spark):
+    df = spark.sql("SELECT map('a@b.co', 'x', 'plain', 'c@d.co', 'e@f.co', 'y', 'g@h.co and more', 'z', 'i@j.co', NULL) AS m, map(1, 'a@b.co') AS n, CAST(NULL AS MAP<STRING, INT>) AS o")
+    out = mask_pii(df, ["EMAIL"]).first()
+    assert out.m == {"[EMAIL]": "x", "plain": "[EMAIL]", "[EMAIL] 2": "y", "[EMAIL] and more": "z", "[EMAIL] 3": None}
+    assert out.n == {1: "[EMAIL]"} and out.o is None
+    counts = {r["column"]: r.matches for r in pii_report(df, ["EMAIL"]).collect()}
+    assert counts == {"m": 5, "n": 1, "o": 0}
+
+
 def test_report_counts_what_masking_replaces(spark):
     df = spark.createDataFrame(
         [("a@b.co c@d.co", ["1.2.3.4"]), (None, None), ("4111 1111 1111 1111", ["e@f.co", "x"])], "t STRING, l ARRAY<STRING>"
