@@ -12,11 +12,12 @@ from etlspec import register_sink, register_source, run_incremental, run_pipelin
 from etlspec.operators.hooks import CodeNotAllowed
 from etlspec.plans.check import sink_source
 from etlspec.plans.spec import Auth, SinkSpec, SourceSpec, load_spec
+from etlspec.sinks.write import _table_format
 from etlspec.sources.files import reader_options
 from etlspec.sources.http import json_items
 from etlspec.sources.jdbc import jdbc_options
 from etlspec.sources.kafka import kafka_options
-from etlspec.streaming.incremental import BATCH_COLUMN, RUN_COLUMN
+from etlspec.streaming.incremental import BATCH_COLUMN, RUN_COLUMN, _write_batch
 from tests.conftest import collected
 
 
@@ -272,6 +273,43 @@ def test_second_run_reads_only_new_files(spark, people, tmp_path):
     assert out.select(RUN_COLUMN).distinct().count() == 1
 
 
+@pytest.mark.parametrize("sink", [{"type": "catalog", "format": "parquet"}, {"type": "iceberg"}], ids=lambda s: s["type"])
+def test_a_repeated_batch_leaves_a_table_unchanged(spark, people, tmp_path, sink):
+    name = f"repeated_{sink['type']}"
+    spec = {"sources": [{"name": "drop", "type": "s3", "path": str(tmp_path / "drops")}], "sink": {**sink, "database": "default", "table": name}}
+    for ids in ("id < 3", "id = 3"):
+        people.filter(ids).write.mode("append").parquet(str(tmp_path / "drops"))
+        run_incremental(spark, spec, str(tmp_path / "checkpoint"), provider="parquet")
+    table = spark.table(name)
+    once = collected(table)
+    assert len(once) == people.filter("id <= 3").count() and table.columns == [*people.columns, RUN_COLUMN, BATCH_COLUMN]
+    run = table.select(RUN_COLUMN).first()[0]
+    for batch in (0, 1):  # as after a failure between the append and the checkpoint
+        _write_batch(people.filter("id < 3"), load_spec(spec), run, batch, None, "parquet")
+    assert collected(spark.table(name)) == once
+    _write_batch(people.filter("id < 3"), load_spec(spec), run, 2, None, "parquet")
+    _write_batch(people.filter("id < 3"), load_spec(spec), "another run", 0, None, "parquet")
+    assert spark.table(name).count() == len(once) + 4
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_table_without_batch_columns_is_appended_to_with_a_warning(spark, people, caplog):
+    people.write.saveAsTable("unmarked")
+    spec = load_spec({"sources": [{"name": "drop", "type": "s3", "path": "p"}], "sink": {"type": "catalog", "database": "default", "table": "unmarked"}})
+    _write_batch(people, spec, "r", 0, None, "parquet")
+    assert "appended again" in caplog.text and spark.table("unmarked").count() == 2 * people.count()
+    spark.sql("DROP TABLE unmarked")
+
+
+def test_a_missing_table_of_a_table_format_is_created(spark, people):
+    sink = load_spec({"sources": [{"name": "a", "type": "s3", "path": "p"}], "sink": {"type": "iceberg", "database": "default", "table": "fresh_table", "partition_by": ["team"], "mode": "append"}}).sink
+    _table_format(people, sink, "parquet")
+    assert collected(spark.table("fresh_table").select("id")) == collected(people.select("id"))
+    described = [tuple(r)[:2] for r in spark.sql("DESCRIBE TABLE fresh_table").collect()]
+    assert ("team", "string") in described[described.index(("# Partition Information", "")) :]
+    spark.sql("DROP TABLE fresh_table")
+
+
 def test_incremental_limits(spark, tmp_path):
     source = {"name": "a", "type": "s3", "path": str(tmp_path)}
     with pytest.raises(ValueError, match="sink"):
