@@ -199,24 +199,27 @@ def trn_join_outer(spark, sf_dir):
 
 
 def _frequent(name, how, sql):
-    """The joins again with a low limit, so that the tables' keys count as frequent."""
+    """Outer joins with a low limit, so that customers with several orders count as frequent keys.
+
+    Each customer is one row, so the result grows with the tables.
+    """
 
     @query(name, sql)
     def run(spark, sf_dir):
-        customer = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").filter("c_acctbal > 0")
-        supplier = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey").filter("s_acctbal < 5000")
-        left, right = (df.withColumnRenamed(df.columns[0], "nationkey") for df in (customer, supplier))
-        return join(left, right, "nationkey", how, split_rows=1)
+        customer = table(spark, sf_dir, "customer").filter("c_acctbal > 0").selectExpr("c_custkey AS custkey", "c_name")
+        orders = table(spark, sf_dir, "orders").filter("o_totalprice < 150000").selectExpr("o_custkey AS custkey", "o_orderkey")
+        left, right = (orders, customer) if how == "right" else (customer, orders)
+        return join(left, right, "custkey", how, split_rows=1)
 
 
-_SIDES = """(SELECT c_nationkey AS nationkey, c_custkey FROM customer WHERE c_acctbal > 0) c
-    {} JOIN (SELECT s_nationkey AS nationkey, s_suppkey FROM supplier WHERE s_acctbal < 5000) s
-    ON c.nationkey = s.nationkey"""
-for _how, _word in (("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+_SIDES = """(SELECT c_custkey AS custkey, c_name FROM customer WHERE c_acctbal > 0) c
+    {} JOIN (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_totalprice < 150000) o
+    ON c.custkey = o.custkey"""
+for _how, _word in (("left", "LEFT"), ("right", "LEFT"), ("outer", "FULL")):
     _frequent(
         f"trn_join_{_how}_frequent",
         _how,
-        f"SELECT coalesce(c.nationkey, s.nationkey) AS nationkey, c_custkey, s_suppkey FROM {_SIDES.format(_word)}",
+        f"SELECT coalesce(c.custkey, o.custkey) AS custkey, c_name, o_orderkey FROM {_SIDES.format(_word)}",
     )
 
 # --- aggregate
