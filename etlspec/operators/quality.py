@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,16 +170,10 @@ def _repeated(rows: DataFrame, by: Sequence[str], origins: Sequence[str]) -> Dat
     """Counts per ``by`` and origin, for the values of ``by`` with several rows."""
     if not origins:
         return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    # A total over the counts, not a join with them: the frame is scanned once for both.
     per_origin = rows.groupBy(*by, *origins).agg(F.count(F.lit(1)).alias("n_origin"))
-    totals = (
-        per_origin.groupBy(*[F.col(n).alias(f"t{n}") for n in by])
-        .agg(F.sum("n_origin").alias("n_rows"))
-        .filter("n_rows > 1")
-    )
-    same = F.lit(True)
-    for n in by:
-        same = same & F.col(n).eqNullSafe(F.col(f"t{n}"))
-    return per_origin.join(totals, same).select(*by, *origins, "n_origin", "n_rows")
+    total = F.sum("n_origin").over(Window.partitionBy(*by))
+    return per_origin.withColumn("n_rows", total).filter("n_rows > 1")
 
 
 def find_orphans(

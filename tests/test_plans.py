@@ -88,3 +88,10 @@ def test_nothing_broadcasts_or_crosses_by_hint(spark):
     for name in ("trn_join_inner", "pipe_join_chain", "ra_orphans_orders", "sql_range_join"):
         text = plan(spark, name)
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_duplicates_scan_the_table_for_counts_and_for_texts(spark):
+    df = CATALOGUE["ra_duplicates"].run(spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2
