@@ -36,10 +36,11 @@ _MAIL = "[A-Za-z0-9._%+-]"
 _FORMS = {
     **PATTERNS,
     "EMAIL": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}",
+    "IP_ADDRESS": rf"\b(?=[0-9A-Fa-f]{{1,4}}[.:])(?:{PATTERNS['IP_ADDRESS']})",
     "PHONE_NUMBER": f"(?=[+(0-9])(?:{PATTERNS['PHONE_NUMBER']})",
 }
-# What every match but that of an e-mail address holds: a digit, or letters of a version-6 address between colons.
-_NUMBERS = "[0-9]|:[A-Fa-f]{0,4}:"
+# What a version-6 address without a digit holds.
+_LETTERS_ONLY = ":[A-Fa-f]{0,4}:"
 
 
 def ordered(entities: Iterable[str]) -> list[str]:
@@ -77,7 +78,10 @@ def _replaced(text: Column, entity: str) -> Column:
 
 
 def _may_hold(text: Column, entity: str) -> Column:
-    return text.contains("@") if entity == "EMAIL" else text.rlike(_NUMBERS if entity == "IP_ADDRESS" else "[0-9]")
+    if entity == "EMAIL":
+        return text.contains("@")
+    digit = text.rlike("[0-9]")
+    return digit | (text.contains(":") & text.rlike(_LETTERS_ONLY)) if entity == "IP_ADDRESS" else digit
 
 
 def mask_pii(df: DataFrame, entities: Iterable[str]) -> DataFrame:

@@ -111,7 +111,8 @@ def check_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> Dat
         for rule, text in zip(rules, messages)
     ]
     broken = df.filter(reduce(lambda a, b: a | b, [text.isNotNull() for text in messages]))
-    return broken.select(*map(quoted, keys), F.explode(F.array_compact(F.array(*found))).alias("__found")).select(
+    # empty places are dropped after the explosion, which keeps all of it inside generated code
+    return broken.select(*map(quoted, keys), F.explode(F.array(*found)).alias("__found")).filter("__found IS NOT NULL").select(
         *map(quoted, keys), "__found.field", "__found.message", "__found.severity"
     )
 
