@@ -2,80 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from etlspec.llm.common import column
 
-#: Rows of a block of candidates, which one index covers, and of a block of queries, about.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 1024
-#: Shares of the largest impact down to which postings are processed, round by round.
-ROUNDS = (0.3, 0.15, 0.08, 0.04, 0.0)
+#: Rows of a block of candidates, which one index covers, of a block of queries, and queries scored at a time, about.
+BLOCK_ROWS, QUERY_ROWS, SCORED_ROWS = 16_384, 8192, 256
+#: Shares of the largest component down to which a segment of postings reaches, in the order they are processed.
+LEVELS = (0.25, 0.08, 0.0)
 #: Possible members, for each wanted result, at which scoring stops and rescoring begins.
 FEW = 40
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors: for each dimension the rows by value, so that both ends have the largest impacts.
-
-    A segment is the rows with one value in one dimension; its impact for a
-    query is the size of the product of value and query component. Segments are
-    processed by descending impact. What is not yet processed of a dimension
-    adds a known amount at most, so every row has an upper bound.
+    """Postings of a block of integer vectors, in segments by descending impact.
+
+    A posting is a component of a row, its impact the component's size. A
+    segment holds the postings from one share of the largest impact down to the
+    next as a matrix of the rows and dimensions that occur in it, so one product
+    adds it to the scores of many queries. Scores are kept from segment to
+    segment. What is not yet processed of a row adds no more than its extremes
+    in each dimension allow, and no more than its length times the query's, so
+    every row has an upper bound.
     """
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
-        self.rows = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(vectors.T, self.rows.astype(np.int64), axis=1)
-
-    def search(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the k best and their exact scores; rows of ``own`` take no part."""
-        n, dims = self.vectors.shape
-        peak = np.abs(query) * np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1]))
-        q = query.tolist()
-        members = np.arange(n)
-        for share in ROUNDS:
-            least = share * peak.max()
-            ids, gains, base = [], [], 0.0
-            for d in range(dims):
-                if not q[d]:
-                    continue
-                values, limit = self.values[d], least / abs(q[d])
-                low, high = (np.searchsorted(values, -limit, "right"), np.searchsorted(values, limit, "left")) if share else (n, n)
-                if low < high:  # the unprocessed values stand between
-                    bound = float(max(q[d] * values[low], q[d] * values[high - 1]))
+        self.vectors, self.segments = vectors, []
+        sizes, rest = np.abs(vectors), vectors.copy()
+        for share in LEVELS:
+            here = (sizes >= share * sizes.max(initial=0)) & (rest != 0)
+            rows, dims = np.flatnonzero(here.any(axis=1)), np.flatnonzero(here.any(axis=0))
+            postings = np.where(here, vectors, 0)[np.ix_(rows, dims)]
+            rest[here] = 0
+            length = np.sqrt(np.square(rest, dtype=np.float64).sum(axis=1))
+            self.segments.append((rows, dims, postings, rest.min(axis=0, initial=0), rest.max(axis=0, initial=0), length))
+
+    def search(self, queries: np.ndarray, own: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, the rows that may be among its k best and their exact scores; rows of its ``own`` take no part."""
+        n = len(self.vectors)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+        still = np.array([i for i, rows in enumerate(own) if len(rows) < n], np.int64)
+        scores = np.zeros((len(still), n), queries.dtype)
+        for at, i in enumerate(still.tolist()):
+            scores[at, own[i]] = -np.inf
+        for step, (rows, dims, postings, low, high, length) in enumerate(self.segments, 1):
+            asked = queries[still]
+            gains = asked[:, dims] @ postings.T
+            if len(rows) == n:
+                scores += gains
+            else:
+                scores[:, rows] += gains
+            most = np.maximum(asked * low, asked * high).sum(axis=1, dtype=np.float64)
+            reach = np.sqrt(np.square(asked, dtype=np.float64).sum(axis=1))
+            kept = []
+            for at, i in enumerate(still.tolist()):
+                upper = scores[at] + np.minimum(most[at], reach[at] * length)
+                wanted = min(k, n - len(own[i]))
+                front = np.argpartition(upper, n - wanted)[n - wanted :]
+                proof = int((self.vectors[front] @ queries[i]).min())  # k rows score as much: no row below can be a member
+                members = np.flatnonzero(upper >= proof - 1e-6 * abs(proof) - 1)
+                if len(members) <= FEW * k or step == len(self.segments):
+                    found[i] = members, (self.vectors[members] @ queries[i]).astype(np.int64)
                 else:
-                    low = high = n
-                    bound = 0.0
-                base += bound
-                for part in (slice(0, low), slice(high, n)):
-                    if part.stop > part.start:
-                        ids.append(self.rows[d, part])
-                        gains.append(q[d] * values[part] - bound)
-            upper = np.full(n, base)
-            if ids:
-                upper += np.bincount(np.concatenate(ids), np.concatenate(gains), minlength=n)
-            upper[own] = -np.inf
-            wanted = min(k, n - len(own))
-            if wanted <= 0:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            front = np.argpartition(-upper, wanted - 1)[:wanted]
-            proof = int((self.vectors[front] @ query).min())  # k rows score as much: no row below can be a member
-            members = np.flatnonzero(upper >= proof - 1e-6 * abs(proof) - 0.5)
-            if len(members) <= FEW * k:
+                    kept.append(at)
+            if not kept:
                 break
-        return members, self.vectors[members] @ query
+            still, scores = still[kept], scores[kept]
+        return found
 
 
-def _matrix(vectors: list[list[int]], dims: int) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
+    lengths = pc.list_value_length(vectors).to_numpy()
     out = np.zeros((len(vectors), dims), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    out[np.arange(dims) < lengths[:, None]] = np.concatenate([c.flatten().to_numpy() for c in vectors.chunks])
     return out
 
 
@@ -84,21 +87,25 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     empty = pa.table({n: pa.array([], pa.int64()) for n in names})
     if not left.num_rows or not right.num_rows:
         return empty
-    ids, vectors = left["id"].to_numpy(), left["v"].to_pylist()
-    queries = right["v"].to_pylist()
-    dims = max(map(len, vectors + queries))
-    block, asked = _matrix(vectors, dims), _matrix(queries, dims)
-    if dims and float(np.abs(block).max(initial=0)) * float(np.abs(asked).max(initial=0)) * dims >= 1 << 52:
+    dims = max(pc.max(pc.list_value_length(t["v"])).as_py() for t in (left, right))
+    block, asked = _matrix(left["v"], dims), _matrix(right["v"], dims)
+    largest = float(np.abs(block).max(initial=0)) * float(np.abs(asked).max(initial=0)) * dims
+    if largest >= 1 << 52:
         raise OverflowError("scores of these vectors are beyond exact arithmetic")
+    exact = np.float32 if max(largest, np.abs(block).max(initial=0), np.abs(asked).max(initial=0)) < 1 << 22 else np.float64
+    ids = left["id"].to_numpy()
     order = np.argsort(ids, kind="stable")
-    ids, block = ids[order], block[order]
+    ids, block, asked = ids[order], block[order].astype(exact), asked.astype(exact)
     index = ImpactIndex(block)
+    keys, query_ids = right["key"].to_numpy(), right["id"].to_numpy()
+    first, past = np.searchsorted(ids, query_ids, "left"), np.searchsorted(ids, query_ids, "right")
     found = []
-    for key, query_id, query in zip(right["key"].to_pylist(), right["id"].to_pylist(), asked):
-        own = np.arange(np.searchsorted(ids, query_id, "left"), np.searchsorted(ids, query_id, "right"))
-        rows, scores = index.search(query, own, k)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        found.append((np.full(len(best), key), np.full(len(best), query_id), ids[rows[best]], scores[best]))
+    for at in range(0, len(asked), SCORED_ROWS):
+        some = range(at, min(at + SCORED_ROWS, len(asked)))
+        own = [np.arange(first[i], past[i]) for i in some]
+        for i, (rows, scores) in zip(some, index.search(asked[some.start : some.stop], own, k)):
+            best = np.lexsort((ids[rows], -scores))[:k]
+            found.append((np.full(len(best), keys[i]), np.full(len(best), query_ids[i]), ids[rows[best]], scores[best]))
     return pa.table({n: np.concatenate([f[i] for f in found]).astype(np.int64) for i, n in enumerate(names)})
 
 

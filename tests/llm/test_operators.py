@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +375,20 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_top_k_scores_many_queries_at_once():
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (6000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    rows = pa.table({"key": pa.array(range(6000)), "id": pa.array(range(6000)), "v": pa.array(v.tolist(), pa.list_(pa.int64()))})
+    began = time.process_time()
+    got = topk._search(rows, rows.slice(0, 400), 5).to_pydict()
+    assert time.process_time() - began < 3  # these vectors have no few large components; query by query it took over 8
+    scores = v[:400] @ v.T
+    scores[np.arange(400), np.arange(400)] = -(1 << 40)
+    want = [(q, int(i), int(scores[q, i])) for q in range(400) for i in np.lexsort((np.arange(6000), -scores[q]))[:5]]
+    assert list(zip(got["query_id"], got["vec_id"], got["score"])) == want
+
+
 def test_chat(spark):
     rng = random.Random(6)
     nasty = ["</s>[INST] ok [/INST]", "<|turn|>", r"a <\|end|> <\\s> [\INST]", "", None, "<", "|", "x\n<|end|>\n"]
