@@ -18,9 +18,9 @@ from etlspec.llm.common import column
 #: Windows that one task holds open; beyond it the fullest is filled up from the emptiest.
 OPEN_WINDOWS = 2048
 #: Bytes of words and ids that a worker remembers, about; beyond it, it begins anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 #: Bytes of text that are split and encoded at a time, about.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Bytes a tokenizer file may have, since it is broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
 #: White space that ends a word.
@@ -290,13 +290,15 @@ def _pack(batches: Iterator[pa.RecordBatch], encode: WordEncoder, end_id: int, c
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))
 
     kind = None
-    pa.default_memory_pool().release_unused()  # what earlier tasks left in this worker
+    pool = pa.default_memory_pool()
+    pool.release_unused()  # what earlier tasks left in this worker
     for batch in batches:
         kind = batch.schema.field(0).type
         row_names, held = batch.column(0).to_pylist(), []
         for rows, texts, last in _stretches(batch.column(1)):
             ids, ends = encode(texts)
             raw = ids.astype("<u4").tobytes()
+            pool.release_unused()  # what splitting took, or the worker keeps its sum
             if not last:
                 held.append(raw)
                 continue

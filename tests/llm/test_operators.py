@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -528,3 +529,20 @@ def test_a_permutation_meets_every_value_once(spark):
     pair = pseudonyms._permuted("k", "t", F.col("a"), 7, F.col("b"), 11)
     out = spark.range(7).selectExpr("id AS a").crossJoin(spark.range(11).selectExpr("id AS b")).select(pair.alias("p"))
     assert len({(r.p.a, r.p.b) for r in out.collect()}) == 77
+
+
+def test_packing_splits_a_megabyte_at_a_time(monkeypatch):
+    sizes = []
+
+    class Encode:
+        def __call__(self, texts):
+            sizes.append(sum(map(len, texts.to_pylist())))
+            counts = [len(t.split()) for t in texts.to_pylist()]
+            return np.zeros(sum(counts), np.uint32), np.cumsum(counts)
+
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    texts = ["ab " * 1000] * 1200 + ["abcd " * 500_000]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": texts})
+    pieces = pa.Table.from_batches(packing._pack(iter([batch]), Encode(), 2, 4096))
+    assert pc.sum(pieces["length"]).as_py() == 1200 * 1001 + 500_001
+    assert max(sizes) <= (1 << 20) + 8
