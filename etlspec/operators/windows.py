@@ -281,12 +281,11 @@ class _Slices:
             table = pa.table({"__g": pa.array(group[mine][first], pa.int32()), "__node": pa.array(node[first], pa.int64()), "__cuts": lists})
             nodes = F.broadcast(spark.createDataFrame(table, node_type))
             rows = rows.withColumn("__before", number).join(nodes, (F.col("__group") == F.col("__g")) & (F.col("__before") == F.col("__node")), "left")
-            digit = F.aggregate(  # a binary search for the number of cuts before the row
-                F.array(*map(F.lit, STEPS)),
-                F.lit(0),
-                lambda n, step: n + F.when(self._comes_before(F.get("__cuts", n + step - 1)), step).otherwise(0),
-            )
-            rows = rows.select(*map(quoted, kept), (F.col("__before") * FANOUT + digit).alias("__found"))
+            rows = rows.withColumn("__digit", F.lit(0))
+            for step in STEPS:  # a binary search for the number of cuts before the row, a projection for each step so that it is compiled
+                cut = F.get("__cuts", F.col("__digit") + (step - 1))
+                rows = rows.withColumn("__cut", cut).withColumn("__digit", F.col("__digit") + F.when(self._comes_before(F.col("__cut")), step).otherwise(0))
+            rows = rows.select(*map(quoted, kept), (F.col("__before") * FANOUT + F.col("__digit")).alias("__found"))
             number = F.col("__found")
             unit //= FANOUT
         frequent = cuts.filter(cuts["__frequent"])
@@ -396,7 +395,10 @@ class _Slices:
         aggs = {"__steps": values if dense else F.count(F.lit(1))}
         before = self._subtotals(self.place, aggs, {"__before": F.sum("__steps")})
         local = (F.dense_rank() if dense else F.rank()).over(self._window())
-        rows = self.frame.withColumn("__local", local).join(before, self.place)
+        peers = self.frame.filter("__flat").withColumn("__local", F.lit(1))  # need no sorting
+        ranked = self.frame.filter("NOT __flat").withColumn("__local", local)
+        # at most one row for each slice, and the slices are bounded as the cuts are
+        rows = ranked.unionByName(peers).join(F.broadcast(before), self.place)
         rank = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
         if call.function == "percent_rank":
             others = F.col("__group_rows") - 1
