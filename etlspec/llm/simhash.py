@@ -55,25 +55,25 @@ def fingerprint(text: Column, shingle_words: int) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bits_of_byte = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-        def one(data: bytes | None) -> int:
-            hashes = _hashes(data, shingle_words)
-            if not len(hashes):
-                return 0
-            parts = hashes.view(np.uint8).reshape(-1, 8)
-            if len(parts) < 2000:
-                counts = np.unpackbits(parts, axis=1, bitorder="little").sum(0, dtype=np.int64)
-            else:
-                counts = np.concatenate([np.bincount(parts[:, k], minlength=256) @ bits_of_byte for k in range(8)])
-            return int(np.packbits(2 * counts > len(parts), bitorder="little").view("<i8")[0])
-
         for batch in batches:
-            yield pd.Series([one(x) for x in batch], dtype="int64")
+            yield pd.Series([_majority(_hashes(x, shingle_words)) for x in batch], dtype="int64")
 
     return of(text.cast("binary"))
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
+    if not len(hashes):
+        return 0
+    parts = hashes.view(np.uint8).reshape(-1, 8)
+    if len(parts) < 2000:
+        counts = np.unpackbits(parts, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    else:
+        bits_of_byte = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+        counts = np.concatenate([np.bincount(parts[:, k], minlength=256) @ bits_of_byte for k in range(8)])
+    return int(np.packbits(2 * counts > len(parts), bitorder="little").view("<i8")[0])
+
+
 def blocks(max_bits: int, equal_blocks: int = 3) -> list[int]:
     """Masks such that fingerprints at most ``max_bits`` apart are equal under one of them.
 
@@ -93,38 +93,44 @@ def blocks(max_bits: int, equal_blocks: int = 3) -> list[int]:
 
 
 def sketch(text: Column, shingle_words: int) -> Column:
-    """(sketch, bands, digest): one byte of each of ``SKETCH`` min-hashes over the set of a text's shingles, its block keys, a hash of the set.
+    """(fp, sketch, bands, digest): the ``fingerprint`` of a text, one byte of each of ``SKETCH`` min-hashes over its set of shingles, its block keys, a hash of the set.
 
     Words and shingles are those of ``fingerprint``. The share of equal bytes of
     two sketches estimates the Jaccard similarity of the two sets, with a
     standard error below two points at 0.8, so it picks pairs and decides none.
     Texts whose similarity is 0.8 share a block with a probability of 0.998.
-    Null for texts without a word.
+    All but ``fp`` are null for texts without a word.
+
+    The fingerprint is found here too, since each function of its own takes one
+    more Python worker for every task, and hashes the shingles again.
     """
     rng = np.random.default_rng(42)
     masks = rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)[:, None]
     factors = (rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * 2 + 1)[:, None]
 
-    @F.pandas_udf("sketch binary, bands array<long>, digest long")
+    @F.pandas_udf("fp long, sketch binary, bands array<long>, digest long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         def one(data: bytes | None) -> tuple:
-            runs = np.unique(_hashes(data, shingle_words))
-            if not len(runs):
-                return None, None, None
+            every = _hashes(data, shingle_words)
+            if not len(every):
+                return 0, None, None, None
+            runs = np.unique(every)
             hashes = (runs >> np.uint64(32)).astype(np.uint32)
             least = np.full(SKETCH, (1 << 32) - 1, np.uint32)
             for i in range(0, len(hashes), 1024):
                 least = np.minimum(least, ((hashes[i : i + 1024] ^ masks) * factors).min(1))
             rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
             keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(rows)]
-            return _kept_byte(least).tobytes(), keys, xxhash.xxh64_intdigest(runs.tobytes(), 7) - (1 << 63)
+            return _majority(every), _kept_byte(least).tobytes(), keys, xxhash.xxh64_intdigest(runs.tobytes(), 7) - (1 << 63)
 
         for batch in batches:
-            sketches, bands, digests = zip(*map(one, batch)) if len(batch) else ((), (), ())
+            prints, sketches, bands, digests = zip(*map(one, batch)) if len(batch) else ((), (), (), ())
             # whole numbers beside nulls would pass through floats and lose digits
-            yield pd.DataFrame({"sketch": pd.Series(sketches, dtype=object), "bands": pd.Series(bands, dtype=object), "digest": pd.array(digests, dtype="Int64")})
+            yield pd.DataFrame(
+                {"fp": pd.Series(prints, dtype="int64"), "sketch": pd.Series(sketches, dtype=object), "bands": pd.Series(bands, dtype=object), "digest": pd.array(digests, dtype="Int64")}
+            )
 
     return of(text.cast("binary"))
 
@@ -330,16 +336,17 @@ def _classes(
 ) -> tuple[DataFrame, DataFrame]:
     """The documents (id, fp, node), ``keyed`` also by text_key, and each node's class (node, root, component_id)."""
     text = column(docs, text_col)
-    marked = docs.select(column(docs, id_col).cast("long").alias("id"), fingerprint(text, shingle_words).alias("fp"), text.alias("text"))
+    plain = docs.select(column(docs, id_col).cast("long").alias("id"), text.alias("text"))
     # a fingerprint, or one with a set of shingles, is its own node, so that documents without an id link others too
     if similarity is None:
         key = [F.xxhash64("text").alias("text_key")] if keyed else []
+        marked = plain.withColumn("fp", fingerprint(F.col("text"), shingle_words))
         marked = settled(marked.select("id", "fp", F.col("fp").alias("node"), *key))
         links = close_links(marked.select(F.col("fp").alias("id"), "fp").distinct(), max_bits, equal_blocks)
     else:
-        texts = marked.select(F.xxhash64("text").alias("text_key"), "text")
-        sketched = marked.withColumn("s", sketch(F.col("text"), shingle_words))
-        sketched = sketched.select("id", "fp", "s.sketch", "s.bands", F.xxhash64("fp", "s.digest").alias("node"), F.xxhash64("text").alias("text_key"))
+        texts = plain.select(F.xxhash64("text").alias("text_key"), "text")
+        sketched = plain.withColumn("s", sketch(F.col("text"), shingle_words))
+        sketched = sketched.select("id", "s.fp", "s.sketch", "s.bands", F.xxhash64("s.fp", "s.digest").alias("node"), F.xxhash64("text").alias("text_key"))
         marked = settled(sketched)
         nodes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "bands", "text_key")]).withColumnRenamed("node", "id")
         nodes = settled(nodes)

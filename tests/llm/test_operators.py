@@ -120,6 +120,16 @@ def test_equal_texts_have_equal_digests_beside_nulls(spark):
     assert len(found) == 2 and None in found
 
 
+def test_near_copies_take_one_python_worker_a_task(spark, monkeypatch):
+    plans, settled = [], simhash.settled
+    monkeypatch.setattr(simhash, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settled(df))
+    texts = [None, "", " \t\n", "One", "one  two\tÉté", "a b " * 1500, " ".join(f"w{i % 700}" for i in range(2500))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(frame, similarity=0.8).collect()}
+    assert {i: got[i] & (1 << 64) - 1 for i in got} == {i: _fingerprint(t, 5) for i, t in enumerate(texts)}
+    assert max(plan.count("ArrowEvalPython [") for plan in plans) == 1
+
+
 @pytest.mark.parametrize("similarity", [None, 0.8])
 def test_keep_one_decides_by_row(spark, similarity):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
